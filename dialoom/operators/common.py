@@ -22,6 +22,15 @@ def parallel(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
+def spread_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by key at full parallelism.
+
+    The count is explicit so that adaptive execution does not merge the
+    partitions: the rows are small, but the work on each is not.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def join_dimension(facts: DataFrame, dim: DataFrame, keys: Sequence[str], how: str = "inner",
                    max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a per-key lookup whose keys may be very hot in the facts.

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialoom.functions import text as tx
-from dialoom.operators.common import join_dimension, parallel, settle, top_k
+from dialoom.operators.common import join_dimension, parallel, settle, spread_by, top_k
 from dialoom.params import KeyphraseParams
 
 DOC = ("corpus", "doc_id")
@@ -31,8 +31,8 @@ def tokenized(docs: DataFrame, params: KeyphraseParams = KeyphraseParams()) -> D
     else:
         body, extra = F.col("text"), []
     words = tx.tokenize(tx.normalize_text(body))
-    spread = (parallel(docs, *DOC).select(*DOC, F.array_join(words, "\n").alias("words"), *extra)
-              .repartition(*DOC))
+    spread = spread_by(parallel(docs, *DOC).select(
+        *DOC, F.array_join(words, "\n").alias("words"), *extra), *DOC)
     tokens = F.filter(F.split("words", "\n"), lambda w: w != "").alias("tokens")
     if not params.include_title:
         return spread.select(*DOC, tokens)
