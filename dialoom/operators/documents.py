@@ -15,26 +15,28 @@ SEGMENT_LINES = 1000
 
 def ordered_segments(rows: DataFrame, keys: Sequence[str], order: str, value: Column,
                      glue: str = " ") -> DataFrame:
-    """(keys, segment, text): values joined in order, a bounded run of them per segment.
+    """(keys, segment, text, first): values joined in order, a bounded run of them per segment.
 
     `order` must be unique within a key. Segments are ranges of it, so even a key
     holding most rows is joined by many tasks.
     """
     packed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v"))))
     return (rows.groupBy(*keys, F.floor(F.col(order) / SEGMENT_LINES).alias("segment"))
-            .agg(F.array_join(F.transform(packed, lambda x: x["v"]), glue).alias("text")))
+            .agg(F.array_join(F.transform(packed, lambda x: x["v"]), glue).alias("text"),
+                 F.min(order).alias("first")))
 
 
 def ordered_join(rows: DataFrame, keys: Sequence[str], order: str, value: Column,
                  glue: str = " ") -> DataFrame:
-    """(keys, text): all values of a key in order, joined by way of segments."""
+    """(keys, text, first): all values of a key in order, joined by way of segments."""
     packed = F.array_sort(F.collect_list(F.struct("segment", "text")))
     return (ordered_segments(rows, keys, order, value, glue).groupBy(*keys)
-            .agg(F.array_join(F.transform(packed, lambda x: x["text"]), glue).alias("text")))
+            .agg(F.array_join(F.transform(packed, lambda x: x["text"]), glue).alias("text"),
+                 F.min("first").alias("first")))
 
 
 def episode_documents(lines: DataFrame) -> DataFrame:
-    """(show, episode, text) of the punctuated lines, in order."""
+    """(show, episode, text, first) of the punctuated lines, in order."""
     return ordered_join(lines, ["show", "episode"], "line_no", tx.punctuate(F.col("line")))
 
 
@@ -65,6 +67,6 @@ def leading_lines(lines: DataFrame, speakers: DataFrame) -> DataFrame:
 
 def character_documents(lines: DataFrame, n: int = 50,
                         removed: Sequence[str] = ("", "MAN")) -> DataFrame:
-    """(show, character_name, text) for the leading speakers of each show."""
+    """(show, character_name, text, first) for the leading speakers of each show."""
     leading = leading_lines(lines, top_speakers(lines, n, removed))
     return ordered_join(leading, ["show", "character_name"], "line_no", tx.punctuate(F.col("line")))
