@@ -33,10 +33,16 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def constant_words(words: list[str]) -> Column:
+    """A constant array, written as one literal to keep plans small."""
+    return F.split(F.lit("\n".join(words)), "\n")
+
+
 def _apply_rules(text: Column, rules: list[tuple[str, str]]) -> Column:
-    """Apply ordered literal replacements as a fold over one constant array."""
-    table = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(r).alias("r")) for p, r in rules])
-    return F.aggregate(table, text, lambda t, rule: F.replace(t, rule["p"], rule["r"]))
+    """Apply ordered literal replacements as a fold over constant arrays."""
+    patterns, full = (constant_words([r[i] for r in rules]) for i in (0, 1))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(rules) - 1)), text,
+                       lambda t, i: F.replace(t, patterns[i], full[i]))
 
 
 def expand_contractions(text: Column) -> Column:
@@ -102,7 +108,7 @@ def clean_words(words: Column) -> Column:
 
 def number_words(token: Column) -> Column:
     """English words for an all-digit token of up to 15 digits; others unchanged."""
-    ones, tens = F.array(*map(F.lit, wl.ONES)), F.array(*map(F.lit, wl.TENS))
+    ones, tens = constant_words(wl.ONES), constant_words(wl.TENS)
 
     def below_thousand(n: Column) -> Column:
         hundreds, rest = F.floor(n / 100).cast("int"), n % 100
@@ -134,13 +140,22 @@ def tokenize(text: Column) -> Column:
     return bind(clean_words(split_words(text)), spell)
 
 
-def is_stop(word: Column) -> Column:
-    return word.isin(*wl.STOP_WORDS)
+STOP_SQL = "(" + ", ".join("'" + w.replace("'", "\\'") + "'" for w in wl.STOP_WORDS) + ")"
+
 
+def is_stop(word: str) -> Column:
+    """Stop-word test of a column given by name or SQL expression (one parsed hash lookup)."""
+    return F.expr(f"{word} IN {STOP_SQL}")
 
-def boundary_ok(first: Column, last: Column) -> Column:
+
+def boundary_ok(first: str, last: str) -> Column:
     """A term may hold stop words inside, but not at either end."""
-    return ~is_stop(F.substring_index(first, "_", 1)) & ~is_stop(F.substring_index(last, "_", -1))
+    return ~is_stop(f"substring_index({first}, '_', 1)") & ~is_stop(f"substring_index({last}, '_', -1)")
+
+
+def content_words(words: str) -> Column:
+    """The words of an array column that are no stop words and longer than two letters."""
+    return F.expr(f"filter({words}, w -> length(w) > 2 AND w NOT IN {STOP_SQL})")
 
 
 def fold_possessive(label: Column) -> Column:

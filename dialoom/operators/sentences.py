@@ -29,7 +29,7 @@ def distinct_sentences(docs: DataFrame) -> DataFrame:
 def sentence_weights(sentences: DataFrame) -> DataFrame:
     """(corpus, doc_id, pos, term, df, w): TF-IDF of content words, idf within the document."""
     words = F.explode(tx.tokenize(tx.normalize_text(F.col("sentence")))).alias("term")
-    counted = (sentences.select(*SENT, "n_sentences", words).where(~tx.is_stop(F.col("term")))
+    counted = (sentences.select(*SENT, "n_sentences", words).where(~tx.is_stop("term"))
                .groupBy(*SENT, "n_sentences", "term").agg(F.count("*").alias("tf")))
     df = F.count("*").over(Window.partitionBy(*DOC, "term"))
     idf = F.ln((1 + F.col("n_sentences")) / (1 + F.col("df"))) + 1

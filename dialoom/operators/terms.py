@@ -77,11 +77,11 @@ def gram_rows(tokens: DataFrame, sizes: Sequence[int], stop_words: bool = False)
         words = [F.col(f"w{i + 1}") for i in range(n)]
         label = F.concat_ws("_", *words)
         if n == 1:
-            keep = tx.boundary_ok(words[0], words[0]) & (F.length(words[0]) > 2)
+            keep = tx.boundary_ok("w1", "w1") & (F.length(words[0]) > 2)
         else:
             keep = words[-1].isNotNull()
             if stop_words:
-                keep = keep & tx.boundary_ok(words[0], words[-1])
+                keep = keep & tx.boundary_ok("w1", f"w{n}")
             label = F.when(label.contains("_s"), tx.fold_possessive(label)).otherwise(label)
         options.append(F.struct(F.lit(n).alias("size"), F.when(keep, label).alias("term")))
     return windows.select(*carried, F.inline(F.array(*options))).where("term is not null")
