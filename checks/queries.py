@@ -25,7 +25,7 @@ from dialoom.params import KeyphraseParams, NameParams, RankParams, ShowParams
 from dialoom.plans import results as rs
 from dialoom.plans.keyphrases import keyphrases
 from dialoom.plans.summaries import sentence_ranks, summaries, summary_length_choice
-from dialoom.session import ensure_checkpoint_dir
+from dialoom.session import cut_lineage, ensure_checkpoint_dir
 from dialoom.sources import tables as tb
 
 DOC = ["corpus", "doc_id"]
@@ -88,13 +88,13 @@ def terms(spark, sf, prefix: str = "") -> DataFrame:
 
 def positions(spark, sf, mode: str = "exact"):
     d = docs(spark, sf)
-    top = tm.keyphrase_candidates(d)
+    top = cut_lineage(tm.keyphrase_candidates(d))
     return co.phrase_positions(tm.tokenized(d), top, KeyphraseParams(position_mode=mode)), top
 
 
 def ranked_graph(spark, sf, measure: str = "pagerank") -> DataFrame:
     d = docs(spark, sf)
-    top = tm.keyphrase_candidates(d)
+    top = cut_lineage(tm.keyphrase_candidates(d))
     graphs = co.keyphrase_graphs(co.keyphrase_edges(d, top=top), co.top_lists(top))
     return rank_rows(graphs, [*DOC, "top"], measure, ROUNDS).select(
         *DOC, (F.col("node") + 1).alias("node"), "rank")

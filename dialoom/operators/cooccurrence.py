@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialoom.operators.centrality import graph_rows, rank_rows
-from dialoom.operators.common import settle, top_k
+from dialoom.operators.common import settle, spread_by, top_k
 from dialoom.operators.terms import DOC, keyphrase_candidates, occurrences, tokenized
 from dialoom.params import KeyphraseParams, RankParams
+from dialoom.session import cut_lineage
 
 
 def interval_gap(start_a: Column, end_a: Column, start_b: Column, end_b: Column) -> Column:
@@ -72,7 +73,8 @@ def cooccurrence_edges(positions: DataFrame, lists: DataFrame,
     cutoff = params.graph_cutoff
     width = cutoff + max(params.gram_sizes) + 1
     words = F.transform("top", lambda t: F.split(t["term"], "_"))
-    differences = (lists.select(*DOC, words.alias("words"))
+    # spread evenly first: these rows are few, but the work on each is not
+    differences = (spread_by(lists, *DOC).select(*DOC, words.alias("words"))
                    .select(*DOC, F.posexplode(F.transform("words", lambda a: F.transform(
                        "words", lambda b: word_difference(a, b)))).alias("rank", "differ"))
                    .select(*DOC, (F.col("rank") + 1).alias("rank"), "differ"))
@@ -82,6 +84,8 @@ def cooccurrence_edges(positions: DataFrame, lists: DataFrame,
                     F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block")))
     right = placed.select(*DOC, F.col("rank").alias("b"), "start", "block")
     gap = F.col("start") - F.col("end")
+    # by block, so that one long document with frequent phrases fills many tasks
+    left, right = spread_by(left, *DOC, "block"), spread_by(right, *DOC, "block")
     near = left.join(right, [*DOC, "block"]).where(
         (gap > 0) & (gap < cutoff) & (F.col("a") != F.col("b")))
     weight = F.ln(F.lit(float(cutoff)) / (gap + F.element_at("differ", F.col("b"))))
@@ -102,7 +106,7 @@ def scored_edges(edges: DataFrame, top: DataFrame) -> DataFrame:
 def keyphrase_edges(docs: DataFrame, params: KeyphraseParams = KeyphraseParams(),
                     top: DataFrame | None = None) -> DataFrame:
     """(corpus, doc_id, src, dst, src_term, dst_term, w) of every document's phrase graph."""
-    top = keyphrase_candidates(docs, params) if top is None else top
+    top = cut_lineage(keyphrase_candidates(docs, params)) if top is None else top
     positions = phrase_positions(tokenized(docs, params), top, params)
     return scored_edges(cooccurrence_edges(positions, top_lists(top), params), top)
 
