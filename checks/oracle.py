@@ -530,14 +530,14 @@ def oracle_sql() -> dict[str, str]:
                             + label_steps("ts", "resolved"), "SELECT show, episode, pos, line_no, character_name FROM said"),
         "speaker_labels": sql(NAMED + _turn_summary() + label_steps("ts", "resolved"), "SELECT show, episode, pos, label FROM labelled"),
         # results
-        "all_results": sql(res, "SELECT show, kind, entity, rank, item, round(score, 6) AS score FROM results"),
-        "result_lookup": sql(res, "SELECT show, entity, rank, item, round(score, 6) AS score FROM results WHERE kind = 'episode_text_similarity'"),
+        "all_results": sql(res, "SELECT show, kind, entity, rank::BIGINT AS rank, item, round(score, 6) AS score FROM results"),
+        "result_lookup": sql(res, "SELECT show, entity, rank::BIGINT AS rank, item, round(score, 6) AS score FROM results WHERE kind = 'episode_text_similarity'"),
         "result_shows": sql(seasons, "SELECT DISTINCT show FROM results"),
         "result_entities": sql(seasons, "SELECT DISTINCT entity FROM results WHERE show = 'show 1' AND kind = 'seasons'"),
         "result_episodes": sql(seasons, "SELECT item AS episode, score::DOUBLE AS score FROM results WHERE show = 'show 1' AND entity = '2'"),
-        "result_episode": sql(res, "SELECT kind, rank, item, round(score, 6) AS score FROM results WHERE show = 'show 1' AND entity = 'season 2 episode 1 talk 1' "
+        "result_episode": sql(res, "SELECT kind, rank::BIGINT AS rank, item, round(score, 6) AS score FROM results WHERE show = 'show 1' AND entity = 'season 2 episode 1 talk 1' "
                               "AND kind IN ('episode_keyphrases', 'episode_text_similarity', 'episode_text_summarization')"),
-        "result_character": sql(res, "SELECT kind, rank, item, round(score, 6) AS score FROM results WHERE show = 'show 1' AND entity = 'THE' "
+        "result_character": sql(res, "SELECT kind, rank::BIGINT AS rank, item, round(score, 6) AS score FROM results WHERE show = 'show 1' AND entity = 'THE' "
                                 "AND kind IN ('character_keyphrases', 'character_dialogue_similarity')"),
     }
     return out

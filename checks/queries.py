@@ -127,15 +127,15 @@ def turn_sentences(spark, sf) -> DataFrame:
                                       first.alias("sentence")).where("sentence <> ''")
 
 
-def all_results(spark, sf) -> DataFrame:
+def all_results(spark, sf, kinds=rs.KINDS) -> DataFrame:
     return rs.build_results(lines(spark, sf), aliases(spark), ShowParams(num_characters=config.TOP_NAMES),
-                            naming=NAMES, ranking=ROUNDS)
+                            naming=NAMES, ranking=ROUNDS, kinds=kinds)
 
 
 def stored_results(spark, sf) -> str:
-    """All results, written to the partitioned store and read back by the lookups."""
+    """Results, written to the partitioned store and read back by the lookups."""
     path = tempfile.mkdtemp(prefix="results-", dir=_scratch(spark))
-    tb.put_results(all_results(spark, sf), path)
+    tb.put_results(all_results(spark, sf, ("seasons", "episode_text_similarity")), path)
     return path
 
 
@@ -333,6 +333,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "result_shows": lambda s, d: rs.shows(season_results(s, d)),
         "result_entities": lambda s, d: rs.entities(season_results(s, d), "show 1", "seasons"),
         "result_episodes": lambda s, d: rs.season_episodes(season_results(s, d), "show 1", "2"),
-        "result_episode": lambda s, d: out(rs.episode_page(all_results(s, d), "show 1", "season 2 episode 1 talk 1"), score=6),
-        "result_character": lambda s, d: out(rs.character_page(all_results(s, d), "show 1", "THE"), score=6),
+        "result_episode": lambda s, d: out(rs.episode_page(all_results(s, d, rs.EPISODE_KINDS), "show 1", "season 2 episode 1 talk 1"), score=6),
+        "result_character": lambda s, d: out(rs.character_page(all_results(s, d, rs.CHARACTER_KINDS), "show 1", "THE"), score=6),
     }
