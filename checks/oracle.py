@@ -195,11 +195,11 @@ def rank_steps(p: str, nodes: str, graph: str, keys=("corpus", "doc_id")) -> lis
         (f"{p}links", f"SELECT {ak}, a.src, a.dst, a.w / b.total AS share FROM {p}both a JOIN {p}out b "
          f"ON {on} AND a.src = b.src UNION ALL SELECT {ak}, a.node, b.node, 1.0 / a.n FROM {p}lone a "
          f"JOIN {nodes} b ON {on} UNION ALL SELECT {k}, node, node, 0.0 FROM {nodes}"),
-        (f"{p}walk", f"SELECT {k}, node, n, 1.0::DOUBLE / n AS rank, 0 AS round FROM {nodes} UNION ALL "
-         f"SELECT {rk}, l.dst, r.n, 0.85::DOUBLE * sum(r.rank * l.share) + 0.15::DOUBLE / r.n, r.round + 1 "
-         f"FROM {p}walk r JOIN {p}links l ON {ron} AND r.node = l.src WHERE r.round < {RANK_ROUNDS} "
-         f"GROUP BY {rk}, l.dst, r.n, r.round"),
-        (f"{p}ranks", f"SELECT {k}, node, rank FROM {p}walk WHERE round = {RANK_ROUNDS}")]
+        (f"{p}walk0", f"SELECT {k}, node, n, 1.0::DOUBLE / n AS rank FROM {nodes}"),
+        *[(f"{p}walk{i}", f"SELECT {rk}, l.dst AS node, r.n, 0.85::DOUBLE * sum(r.rank * l.share) + 0.15::DOUBLE / r.n "
+           f"AS rank FROM {p}walk{i - 1} r JOIN {p}links l ON {ron} AND r.node = l.src GROUP BY {rk}, l.dst, r.n")
+          for i in range(1, RANK_ROUNDS + 1)],
+        (f"{p}ranks", f"SELECT {k}, node, rank FROM {p}walk{RANK_ROUNDS}")]
 
 
 def keyphrase_steps(p: str = "", title: bool = False) -> list:
@@ -389,8 +389,9 @@ def sql(steps: list, final: str) -> str:
     for name, body in steps:
         if name not in seen:
             seen.add(name)
-            parts.append(f"{name} AS ({body})")
-    return quoted_names(("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + final)
+            kept = "MATERIALIZED " if "walk" in name or "links" in name else ""
+            parts.append(f"{name} AS {kept}({body})")
+    return quoted_names(("WITH " + ",\n".join(parts) + "\n" if parts else "") + final)
 
 
 def result_steps() -> list:
