@@ -7,15 +7,23 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoom.llm import byte_bpe, token_counts
+from dialoom.llm import byte_bpe, mixing, quality, token_counts
 from dialoom.llm.base import read
 
 
+def op2_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"),
                                      public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(read(spark, sf_dir, "documents"),
                                public_tokenizers.path("byte_bpe_50k.tiktoken"),
@@ -23,8 +31,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op10_byte_bpe)}
+    return {f.__name__: f for f in (op2_poisson_mix, op4_token_counts, op5_quality_rules, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_poisson_mix": mixing.oracle(), "op5_quality_rules": quality.oracle()}
