@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoom.llm import byte_bpe, mixing, quality, secret_scan, token_counts
+from dialoom.llm import byte_bpe, mixing, near_dedup, quality, secret_scan, token_counts
 from dialoom.llm.base import read
 
 
@@ -28,6 +28,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(read(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(read(spark, sf_dir, "documents"),
                                public_tokenizers.path("byte_bpe_50k.tiktoken"),
@@ -35,7 +39,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_poisson_mix, op4_token_counts, op5_quality_rules, op8_secret_scan, op10_byte_bpe)}
+    return {f.__name__: f for f in (op2_poisson_mix, op4_token_counts, op5_quality_rules, op8_secret_scan, op9_near_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

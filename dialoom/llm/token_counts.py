@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.base import row_numbers, written
+from dialoom.llm.base import row_numbers
 from dialoom.llm.patterns import Pattern
 
 # Fixed value: the pre-token pattern of the vocabulary file.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
+#: A task's memory: characters of a block of documents, and sums kept before they are passed on.
 BLOCK_CHARS = 8_000_000
-FREQUENCIES = "pretoken string, rids array<long>, times array<int>, rid long, doc_id long, n_bytes long"
-_ARROW = pa.schema([("pretoken", pa.string()), ("rids", pa.list_(pa.int64())),
-                    ("times", pa.list_(pa.int32())), ("rid", pa.int64()),
-                    ("doc_id", pa.int64()), ("n_bytes", pa.int64())])
+SUMS = 1_000_000
+LISTS = "pretoken string, block long, postings binary"
+SUMMED = "rid long, doc_id long, n_bytes long, tokens long"
+_LISTS = pa.schema([("pretoken", pa.string()), ("block", pa.int64()), ("postings", pa.binary())])
+_SUMMED = pa.schema([(n, pa.int64()) for n in ("rid", "doc_id", "n_bytes", "tokens")])
 
 
 def _load(path: str):
@@ -32,7 +37,11 @@ def _load(path: str):
 
 
 def _frequencies(path: str):
-    """Pre-token frequencies, as one posting list per distinct pre-token of a block of documents."""
+    """Pre-token frequencies of documents, as posting lists per block of documents.
+
+    A row holds a pre-token, the row number of the block's first document, and pairs (document's
+    place in the block, times). A row without pre-token holds (doc_id, bytes) of every document.
+    """
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _load(path)
@@ -40,60 +49,88 @@ def _frequencies(path: str):
                           key=len, reverse=True)
         special = regex.compile("|".join(map(regex.escape, specials)) or r"(?!)")
         normal, pattern = tokenizer.normalizer, Pattern(PATTERN)
-        rids = row_numbers()
-        postings: dict[str, tuple[list, list]] = defaultdict(lambda: ([], []))
-        seen: list[tuple] = []
-        chars = 0
+        numbers = row_numbers()
+        postings: dict[str, list[int]] = defaultdict(list)
+        documents: list[tuple] = []
+        chars, first = 0, 0
 
         def block() -> pa.RecordBatch:
-            n, m = len(postings), len(seen)
-            lists = list(postings.values())
-            return pa.RecordBatch.from_arrays([
-                pa.array([*postings, *[None] * m], pa.string()),
-                pa.array([*(a for a, _ in lists), *[None] * m], _ARROW.field("rids").type),
-                pa.array([*(b for _, b in lists), *[None] * m], _ARROW.field("times").type),
-                *[pa.array([*[None] * n, *(row[i] for row in seen)], pa.int64())
-                  for i in range(3)]], schema=_ARROW)
+            packed = [np.array(pairs, "<i4").tobytes() for pairs in postings.values()]
+            packed.append(json.dumps(documents).encode())
+            return pa.RecordBatch.from_arrays(
+                [pa.array([*postings, None], pa.string()), pa.array([first] * len(packed), pa.int64()),
+                 pa.array(packed, pa.binary())], schema=_LISTS)
 
         for batch in source:
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 text = text or ""
-                rid = next(rids)
-                seen.append((rid, doc_id, len(text.encode())))
+                number = next(numbers)
+                if not documents:
+                    first = number
+                documents.append((doc_id, len(text.encode())))
                 counts: Counter = Counter()
+                parts: list[str] | tuple[str] = (text,)
                 if "<" in text:
                     counts.update(special.findall(text))
                     parts = special.split(text)
-                else:
-                    parts = (text,)
                 for part in parts:
                     plain = normal.normalize_str(part)
                     counts.update(pattern.engine(plain).findall(plain))
                 for pretoken, times in counts.items():
-                    rows, frequencies = postings[pretoken]
-                    rows.append(rid)
-                    frequencies.append(times)
+                    postings[pretoken] += (number - first, times)
                 chars += len(text)
                 if chars >= BLOCK_CHARS:
                     yield block()
                     postings.clear()
-                    seen.clear()
+                    documents.clear()
                     chars = 0
-        if seen:
+        if documents:
             yield block()
 
     return batches
 
 
-def _pieces(path: str):
+def _joined(path: str):
+    """Sums of pieces x times per document, from posting lists sorted by pre-token.
+
+    All lists of a pre-token are here and next to each other, so it is encoded once, then joined
+    to each of them.
+    """
+
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _load(path)
+        sums: dict[int, int] = defaultdict(int)
+        last, last_pieces = None, 0
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(c), pa.int64()) for c in zip(*rows)], schema=_SUMMED)
+
         for batch in source:
-            pretokens = batch.column(0).to_pylist()
-            found = tokenizer.encode_batch(pretokens, add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(e.ids) for e in found], pa.int64())],
-                names=["pretoken", "pieces"])
+            pretokens, blocks, postings = (c.to_pylist() for c in batch.columns)
+            new = [p for p in dict.fromkeys(pretokens) if p is not None and p != last]
+            found = tokenizer.encode_batch_fast(new, add_special_tokens=False)
+            pieces = dict(zip(new, (len(e) for e in found)))
+            if last is not None:
+                pieces.setdefault(last, last_pieces)
+            rows: list[tuple] = []
+            for pretoken, block, packed in zip(pretokens, blocks, postings):
+                if pretoken is None:
+                    rows += [(block + i, doc_id, n, 0) for i, (doc_id, n) in
+                             enumerate(json.loads(packed))]
+                    continue
+                each = pieces[pretoken]
+                pairs = np.frombuffer(packed, "<i4").tolist()
+                for place, times in zip(pairs[::2], pairs[1::2]):
+                    sums[block + place] += each * times
+                last, last_pieces = pretoken, each
+            if rows:
+                yield out(rows)
+            if len(sums) >= SUMS:
+                yield out(list(zip(sums, repeat(None), repeat(None), sums.values())))
+                sums.clear()
+        if sums:
+            yield out(list(zip(sums, repeat(None), repeat(None), sums.values())))
 
     return batches
 
@@ -102,25 +139,18 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row of docs.
 
     Frequencies leave each task as posting lists, one per pre-token and block of documents, so a
-    pre-token of every document costs a row per block. Each distinct pre-token is encoded once and
-    joined to its lists; the sums of a task are added before they are shuffled.
+    pre-token that every document holds costs a row per block. They are dealt out and sorted by
+    pre-token; each distinct pre-token is encoded once and joined to its lists, and the sums of a
+    task are added up before they are shuffled. No ids are kept.
 
     Null and empty texts have 0 bytes and 0 tokens. Repeated rows and doc_ids are counted each;
     other columns are not read. A null doc_id is kept as null.
     """
-    blocks = written(docs.select("doc_id", "text").mapInArrow(_frequencies(path), FREQUENCIES),
-                     "pretokens")
-    lists = blocks.where(F.col("pretoken").isNotNull()).select("pretoken", "rids", "times")
-    pieces = lists.select("pretoken").distinct().mapInArrow(
-        _pieces(path), "pretoken string, pieces long")
-    counted = (lists.join(pieces, "pretoken")
-               .select("pieces", F.inline(F.arrays_zip("rids", "times")).alias("rid", "times"))
-               .select("rid", F.lit(None).cast("long").alias("doc_id"),
-                       F.lit(0).cast("long").alias("n_bytes"),
-                       (F.col("times") * F.col("pieces")).alias("tokens")))
-    rows = blocks.where(F.col("pretoken").isNull()).select(
-        "rid", "doc_id", "n_bytes", F.lit(0).cast("long").alias("tokens"))
-    return (rows.unionByName(counted).groupBy("rid")
+    lists = docs.select("doc_id", "text").mapInArrow(_frequencies(path), LISTS)
+    dealt = F.coalesce("pretoken", F.col("block").cast("string"))
+    sums = (lists.repartition(dealt).sortWithinPartitions("pretoken")
+            .mapInArrow(_joined(path), SUMMED))
+    return (sums.groupBy("rid")
             .agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"),
                  F.sum("tokens").alias("n_tokens"))
             .select("doc_id", "n_bytes", "n_tokens",
