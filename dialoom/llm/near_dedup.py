@@ -24,6 +24,7 @@ from pyspark.sql.window import Window
 
 from dialoom.llm.base import row_numbers, written
 from dialoom.llm.components import components
+from dialoom.llm.hashing import ODD, mixed
 
 WORDS = 5
 PERCENT = 85
@@ -35,15 +36,6 @@ STAR_ROUNDS = 3
 BLOCK = 400
 REMEMBERED = 300_000
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
 
 class _Words(dict):
     """64-bit numbers of words, remembered up to a bound."""
@@ -64,13 +56,13 @@ def shingle_set(text: str | None, words: _Words) -> np.ndarray:
     size = min(WORDS, len(found))
     hashes = np.full(len(found) - size + 1, size, np.uint64)
     for i in range(size):
-        hashes = _mixed(hashes * _ODD + numbers[i:len(found) - size + 1 + i])
+        hashes = mixed(hashes * ODD + numbers[i:len(found) - size + 1 + i])
     return np.unique(hashes)
 
 
 def _family() -> tuple[np.ndarray, np.ndarray]:
     draw = np.random.default_rng(85).integers(1, 1 << 63, size=(2, SLOTS), dtype=np.uint64)
-    return _mixed(draw[0]), draw[1] * np.uint64(2) + np.uint64(1)
+    return mixed(draw[0]), draw[1] * np.uint64(2) + np.uint64(1)
 
 
 FAMILY = _family()
@@ -82,14 +74,14 @@ def minhashes(hashes: np.ndarray) -> np.ndarray:
     least = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 2048):
         np.minimum(least, ((hashes[at:at + 2048, None] ^ flip) * times).min(0), out=least)
-    return _mixed(least)
+    return mixed(least)
 
 
 def sketch(least: np.ndarray) -> np.ndarray:
     """2 * SIDE sketches of HALF minhashes each: the left collection, then the right one."""
     out = np.arange(2 * SIDE, dtype=np.uint64)
     for i in range(HALF):
-        out = _mixed(out * _ODD + least[i:2 * SIDE * HALF:HALF])
+        out = mixed(out * ODD + least[i:2 * SIDE * HALF:HALF])
     return out.view(np.int64)
 
 
