@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoom.llm import byte_bpe, lattice_dedup, mixing, near_dedup, quality, secret_scan, token_counts
+from dialoom.llm import byte_bpe, lattice_dedup, mixing, near_dedup, quality, secret_scan, token_counts, toxicity
 from dialoom.llm.base import read
 
 
@@ -15,6 +15,11 @@ def op2_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"),
                                      public_tokenizers.path("word_bpe_49k.json"))
@@ -43,7 +48,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_poisson_mix, op4_token_counts, op5_quality_rules, op6_lattice_dedup, op8_secret_scan, op9_near_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op2_poisson_mix, op3_toxicity, op4_token_counts, op5_quality_rules, op6_lattice_dedup, op8_secret_scan, op9_near_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
