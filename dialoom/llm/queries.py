@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoom.llm import byte_bpe, lattice_dedup, mixing, near_dedup, quality, secret_scan, token_counts, toxicity
+from dialoom.llm import byte_bpe, lattice_dedup, license_scan, mixing, near_dedup, quality, secret_scan, token_counts, toxicity
 from dialoom.llm.base import read
 
 
@@ -33,6 +33,10 @@ def op6_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(read(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(read(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_poisson_mix, op3_toxicity, op4_token_counts, op5_quality_rules, op6_lattice_dedup, op8_secret_scan, op9_near_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op2_poisson_mix, op3_toxicity, op4_token_counts, op5_quality_rules, op6_lattice_dedup, op7_license_scan, op8_secret_scan, op9_near_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
