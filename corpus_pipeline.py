@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoom.llm import byte_bpe
+from dialoom.llm import byte_bpe, mixing, near_dedup, quality, secret_scan
 from dialoom.llm.base import read, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -16,13 +16,35 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 ORACLE_SQL: str | None = None
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return quality.good_documents(docs)
+
+
+def near_dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return near_dedup.one_of_each(docs)
+
+
+def secret_scan_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are masked, n_chars follows; no document goes."""
+    return secret_scan.redacted(docs)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every source gets an equal share of the text, by repeating documents; rows are shuffled."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode every row and decode it again."""
     return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"),
                                public_tokenizers.PATTERN)
 
 
-STAGES: list[tuple[str, Stage]] = [("byte_bpe", tokens)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules), ("near_dedup", near_dedup_documents),
+    ("secret_scan", secret_scan_masked), ("mixing", mixed_sources), ("byte_bpe", tokens)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -319,3 +319,15 @@ def _named(sketched: DataFrame, parts: DataFrame) -> DataFrame:
                     F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
                     .alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with one document of each group of near-duplicates: that with the smallest doc_id.
+
+    Documents without words all stay. Rows that repeat doc_id and text become one. Rows with a null
+    doc_id stay when no document with an id is near them. All columns stay.
+    """
+    staying = near_duplicates(docs).where("kept OR component_id IS NULL").select(
+        F.col("doc_id").alias("_staying")).distinct()
+    return (docs.join(staying, F.col("doc_id").eqNullSafe(F.col("_staying")), "left_semi")
+            .dropDuplicates(["doc_id", "text"]))

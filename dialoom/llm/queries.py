@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoom.llm import byte_bpe, lattice_dedup, license_scan, mixing, near_dedup, quality, secret_scan, token_counts, toxicity
+from dialoom.llm import byte_bpe, lattice_dedup, license_scan, mixing, near_dedup, quality, secret_scan, suffix_dedup, token_counts, toxicity
 from dialoom.llm.base import read
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_poisson_mix, op3_toxicity, op4_token_counts, op5_quality_rules, op6_lattice_dedup, op7_license_scan, op8_secret_scan, op9_near_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_poisson_mix, op3_toxicity, op4_token_counts, op5_quality_rules, op6_lattice_dedup, op7_license_scan, op8_secret_scan, op9_near_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
