@@ -19,31 +19,134 @@ shouldn shouldn't wasn wasn't weren weren't won won't wouldn wouldn't
 l
 """.split())
 
-# Which word takes which clitic, and what the clitic stands for.
-NOT_IRREGULAR = {"ain't": "am not", "can't": "cannot", "shan't": "shall not", "won't": "will not"}
-NOT_HOSTS = """are could did does do had has have is may might must need ought
-should was were would""".split()
-NOT_HAVE = """can't couldn't hadn't mightn't mustn't needn't oughtn't shan't
-shouldn't won't wouldn't""".split()
-CLITICS: tuple[tuple[str, str, str], ...] = (
-    ("'ve", "have", "could i might must should so they to we what when where who why will would y'all you"),
-    ("'d", "would", "he i she that they y'all"),
-    ("'d", "had", "it there we who you"),
-    ("'d", "did", "how where"),
-    ("'d've", "would have", "he i it she that there they we y'all you"),
-    ("'ll", "will", "he how i it she they we what who you"),
-    ("'ll've", "will have", "he i it she they we what who you"),
-    ("'s", "is", "he how it she so that there what when where who why"),
-    ("'s", "us", "let"),
-    ("'re", "are", "they we what y'all you"),
-    ("'m", "am", "i"),
-)
-SINGLE = {
-    "'cause": "because", "em'": "them", "'em": "them", "how'd'y": "how do you",
-    "ma'am": "madam", "o'clock": "of the clock", "sha'n't": "shall not",
-    "y'all": "you all", "y'alls": "you alls",
-}
-LAST = {"m'lord": "my lord", "m'lady": "my lady", "d'you": "do you"}
+# Contractions and what they stand for, in the order they are applied. "you'll" is
+# written with both l's; everything else is as stated.
+CONTRACTIONS: tuple[tuple[str, str], ...] = tuple(tuple(row.strip().split(" = ")) for row in """
+ain't = am not
+aren't = are not
+can't = cannot
+can't've = cannot have
+'cause = because
+could've = could have
+couldn't = could not
+couldn't've = could not have
+didn't = did not
+doesn't = does not
+don't = do not
+em' = them
+'em = them
+hadn't = had not
+hadn't've = had not have
+hasn't = has not
+haven't = have not
+he'd = he would
+he'd've = he would have
+he'll = he will
+he'll've = he will have
+he's = he is
+how'd = how did
+how'd'y = how do you
+how'll = how will
+how's = how is
+i'd = i would
+i'd've = i would have
+i'll = i will
+i'll've = i will have
+i'm = i am
+i've = i have
+isn't = is not
+it'd = it had
+it'd've = it would have
+it'll = it will
+it'll've = it will have
+it's = it is
+let's = let us
+ma'am = madam
+mayn't = may not
+might've = might have
+mightn't = might not
+mightn't've = might not have
+must've = must have
+mustn't = must not
+mustn't've = must not have
+needn't = need not
+needn't've = need not have
+o'clock = of the clock
+oughtn't = ought not
+oughtn't've = ought not have
+shan't = shall not
+sha'n't = shall not
+shan't've = shall not have
+she'd = she would
+she'd've = she would have
+she'll = she will
+she'll've = she will have
+she's = she is
+should've = should have
+shouldn't = should not
+shouldn't've = should not have
+so've = so have
+so's = so is
+that'd = that would
+that'd've = that would have
+that's = that is
+there'd = there had
+there'd've = there would have
+there's = there is
+they'd = they would
+they'd've = they would have
+they'll = they will
+they'll've = they will have
+they're = they are
+they've = they have
+to've = to have
+wasn't = was not
+we'd = we had
+we'd've = we would have
+we'll = we will
+we'll've = we will have
+we're = we are
+we've = we have
+weren't = were not
+what'll = what will
+what'll've = what will have
+what're = what are
+what's = what is
+what've = what have
+when's = when is
+when've = when have
+where'd = where did
+where's = where is
+where've = where have
+who'd = who had
+who'll = who will
+who'll've = who will have
+who's = who is
+who've = who have
+why's = why is
+why've = why have
+will've = will have
+won't = will not
+won't've = will not have
+would've = would have
+wouldn't = would not
+wouldn't've = would not have
+y'all = you all
+y'alls = you alls
+y'all'd = you all would
+y'all'd've = you all would have
+y'all're = you all are
+y'all've = you all have
+you'd = you had
+you'd've = you would have
+you'll = you will
+you'll've = you will have
+you're = you are
+you've = you have
+m'lord = my lord
+m'lady = my lady
+d'you = do you
+""".strip().splitlines())
 
 # Contractions whose spaced-out spelling is not simply the
 # apostrophe turned into a space between two spaces.
@@ -70,22 +173,13 @@ TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
 SCALES = ("thousand", "million", "billion", "trillion")
 
 
-def contractions() -> dict[str, str]:
-    """Apostrophe contractions in the order they are applied."""
-    table = {h + "n't": h + " not" for h in NOT_HOSTS} | NOT_IRREGULAR
-    table |= {n + "'ve": table[n] + " have" for n in NOT_HAVE}
-    for clitic, meaning, hosts in CLITICS:
-        for host in hosts.split():
-            table[host + clitic] = host.replace("y'all", "you all") + " " + meaning
-    table |= SINGLE
-    ordered = sorted(table, key=lambda c: (c.strip("'"), not c.endswith("'"), c))
-    return {c: table[c] for c in ordered} | LAST
-
-
 def spaced_rules() -> list[tuple[str, str]]:
-    """The same contractions where a space has taken the apostrophe's place."""
+    """The same contractions, in the same order, where a space has taken the apostrophe's place.
+
+    Every rule keeps a blank on both sides of what it writes.
+    """
     rules = []
-    for short, full in contractions().items():
+    for short, full in CONTRACTIONS:
         pattern = SPACED_EXCEPTIONS.get(short, " " + short.replace("'", " ") + " ")
         if pattern is not None:
             rules.append((pattern, f" {full} "))
@@ -93,4 +187,4 @@ def spaced_rules() -> list[tuple[str, str]]:
 
 
 def apostrophe_rules() -> list[tuple[str, str]]:
-    return list(contractions().items())
+    return list(CONTRACTIONS)
