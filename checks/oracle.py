@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from dialoom.functions import wordlists as wl
+from dialoom.operators.pages import ENTITIES
 from checks.config import (ALIAS_ROWS, EDIT_RATIO, LINK_EXCLUDED, MIN_RATIO, PHRASE_PREFIX,
                            RANK_ROUNDS, TOP_NAMES)
 
@@ -39,7 +40,7 @@ def number(w: str) -> str:
     tens = "['', '', " + ", ".join(map(q, wl.TENS)) + "]"
 
     def group(i: int) -> str:
-        return f"CAST(substr(lpad({w}, 15, '0'), {13 - 3 * i}, 3) AS INTEGER)"
+        return f"CAST(substr(lpad({w}, {wl.NUMBER_DIGITS}, '0'), {wl.NUMBER_DIGITS - 2 - 3 * i}, 3) AS INTEGER)"
 
     def below(n: str) -> str:
         rest = f"({n} % 100)"
@@ -50,9 +51,9 @@ def number(w: str) -> str:
 
     head = "concat_ws(', ', " + ", ".join(
         f"CASE WHEN {group(i)} > 0 THEN {below(group(i))} || ' {wl.SCALES[i - 1]}' END"
-        for i in (4, 3, 2, 1)) + ")"
+        for i in range(len(wl.SCALES), 0, -1)) + ")"
     last = group(0)
-    return (f"CASE WHEN NOT regexp_matches({w}, '^[0-9]{{1,15}}$') THEN {w} "
+    return (f"CASE WHEN NOT regexp_matches({w}, '^[0-9]{{1,{wl.NUMBER_DIGITS}}}$') THEN {w} "
             f"WHEN {head} = '' AND {last} = 0 THEN 'zero' "
             f"WHEN {last} = 0 THEN {head} WHEN {head} = '' THEN {below(last)} "
             f"WHEN {last} < 100 THEN {head} || ' and ' || {below(last)} "
@@ -212,11 +213,14 @@ def keyphrase_steps(p: str = "", title: bool = False) -> list:
          f"FROM {p}top t JOIN {p}k_ranks r ON t.corpus = r.corpus AND t.doc_id = r.doc_id AND t.rank = r.node")]
 
 
+def sentence_list(text: str) -> str:
+    return (f"list_filter(list_transform(regexp_split_to_array({text}, '[.|?!\\n…]'), "
+            f"lambda s: regexp_replace(s, '^[{BLANK}]+|[{BLANK}]+$', '', 'g')), lambda s: s <> '')")
+
+
 def sentence_steps(p: str = "") -> list:
-    split = ("list_filter(list_transform(regexp_split_to_array(text, '[.|?!\\n…]'), "
-             f"lambda s: regexp_replace(s, '^[{BLANK}]+|[{BLANK}]+$', '', 'g')), lambda s: s <> '')")
     return [
-        (f"{p}cut", f"SELECT corpus, doc_id, {split} AS ss FROM {p}docs"),
+        (f"{p}cut", f"SELECT corpus, doc_id, {sentence_list('text')} AS ss FROM {p}docs"),
         (f"{p}all_sents", f"SELECT corpus, doc_id, unnest(ss) AS sentence, unnest(range(len(ss))) AS at FROM {p}cut"),
         (f"{p}firsts", f"SELECT corpus, doc_id, sentence, min(at) AS at FROM {p}all_sents GROUP BY ALL"),
         (f"{p}sents", "SELECT corpus, doc_id, sentence, row_number() OVER (PARTITION BY corpus, doc_id ORDER BY at) - 1 "
@@ -247,10 +251,11 @@ def summary_steps(p: str = "") -> list:
     return (sentence_steps(p) + vector_steps(p)
             + [(f"{p}snodes", f"SELECT corpus, doc_id, pos AS node, n_sentences AS n FROM {p}sents")]
             + rank_steps(f"{p}s_", f"{p}snodes", f"{p}sg") + [
-        (f"{p}lead", f"SELECT s.corpus, s.doc_id, s.pos, s.sentence, r.rank * {length_weight('s.sentence')} AS score, "
-         "row_number() OVER (PARTITION BY s.corpus, s.doc_id ORDER BY round(score, 9) DESC, s.pos) AS rank "
-         f"FROM {p}sents s JOIN {p}s_ranks r ON s.corpus = r.corpus AND s.doc_id = r.doc_id AND s.pos = r.node "
-         "QUALIFY rank <= 18"),
+        (f"{p}valued", f"SELECT s.corpus, s.doc_id, s.pos, s.sentence, r.rank * {length_weight('s.sentence')} AS score "
+         f"FROM {p}sents s JOIN {p}s_ranks r ON s.corpus = r.corpus AND s.doc_id = r.doc_id AND s.pos = r.node"),
+        (f"{p}ordered", "SELECT *, row_number() OVER (PARTITION BY corpus, doc_id ORDER BY round(score, 9) DESC, pos) "
+         f"AS place FROM {p}valued"),
+        (f"{p}lead", f"SELECT *, place AS rank FROM {p}ordered WHERE place <= 18"),
         (f"{p}sizes", f"SELECT DISTINCT corpus, doc_id, n FROM {p}lead, unnest(range(4, 19)) AS g(n)"),
         (f"{p}mean", f"SELECT z.corpus, z.doc_id, z.n, v.term, sum(v.u) AS m FROM {p}sizes z JOIN {p}lead l "
          f"ON z.corpus = l.corpus AND z.doc_id = l.doc_id AND l.rank <= z.n JOIN {p}sv v "
@@ -314,6 +319,15 @@ def lcs(a: str, b: str) -> str:
             f"ELSE greatest(row[j[1] + 1], done[-1]) END)))[-1]")
 
 
+def edits(a: str, b: str) -> str:
+    """Edit distance in characters, one row of the table per character of a."""
+    same = f"CASE WHEN unicode(substr({b}, j[1], 1)) = c[1] THEN 0 ELSE 1 END"
+    return (f"list_reduce(list_prepend(range(0, length({b}) + 1)::INTEGER[], "
+            f"list_transform(string_split({a}, ''), lambda c: [unicode(c)])), lambda row, c: "
+            f"list_reduce(list_prepend([row[1] + 1], list_transform(range(1, length({b}) + 1), lambda j: [j::INTEGER])), "
+            f"lambda done, j: list_append(done, least(row[j[1] + 1] + 1, done[-1] + 1, row[j[1]] + {same}))))[-1]")
+
+
 RATIO = f"round(200.0::DOUBLE * {lcs('canonical', 'character_name')} / (length(canonical) + length(character_name)))::BIGINT"
 HELD = ("(contains(character_name, canonical || ' ') OR contains(canonical || ' ', character_name) "
         "OR contains(character_name, ' ' || canonical) OR contains(' ' || canonical, character_name))")
@@ -357,10 +371,10 @@ def label_steps(summary: str, lines: str) -> list:
          f"FROM {summary} s LEFT JOIN who USING (show, episode, pos)")]
 
 
-PAGE_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
-PARAS = [("bodies", r"SELECT page_id, url, regexp_extract_all(html, '(?s)<p(?:\s[^>]*)?>(.*?)</p>', 1) AS b FROM pages"),
+PARAS = [("bodies", r"SELECT page_id, url, regexp_extract_all(regexp_replace(html, '(<p(?:\s[^>]*)?>)', '</p>\1', 'g') || '</p>', "
+          r"'(?s)<p(?:\s[^>]*)?>(.*?)</p>', 1) AS b FROM pages"),
          ("paras", "SELECT page_id, url, list_transform(b[1:greatest(len(b) - 1, 1)], lambda x: "
-          + fold("regexp_replace(x, '(?s)<[^>]*>', '', 'g')", PAGE_ENTITIES) + ") AS ps FROM bodies"),
+          + fold("regexp_replace(x, '(?s)<[^>]*>', '', 'g')", ENTITIES) + ") AS ps FROM bodies"),
          ("ptext", "SELECT page_id, url, array_to_string(ps, ' ') AS text FROM paras"),
          ("plines", "SELECT page_id, unnest(l) AS line, unnest(range(len(l))) AS at FROM (SELECT page_id, "
           "list_filter(string_split(text, chr(10)), lambda x: x <> '') AS l FROM ptext)")]
@@ -439,7 +453,7 @@ def oracle_sql() -> dict[str, str]:
         "scan_lines": sql(LINES, "SELECT show, episode, line_no, character_name FROM lines"),
         "scan_season": sql(LINES, "SELECT * FROM lines WHERE season IN (1, 3)"),
         "sink_tsv_roundtrip": sql(LINES, "SELECT * FROM lines"),
-        "embedding_cast": "SELECT vec_id, list_sum(list_transform(embedding, lambda x: round(x::DOUBLE, 6)))::DECIMAL(18,4)::DOUBLE AS total, len(embedding) AS size FROM embeddings",
+        "embedding_cast": "SELECT vec_id, unnest(range(len(embedding))) AS at, round(unnest(embedding)::DOUBLE, 6) AS element FROM embeddings",
         "lines_json": sql(LINES, "SELECT line_no, '{\"character_name\":\"' || character_name || '\",\"season\":' || season || ',\"url\":\"' || url || '\"}' AS json FROM lines"),
         "sink_cleanup": f"SELECT doc_id, translate({q('it’s' + chr(9))} || text, {q('’' + chr(9))}, {q(chr(39) + ' ')}) AS text FROM documents",
         # pages
@@ -452,18 +466,18 @@ def oracle_sql() -> dict[str, str]:
                              f"SELECT conv_id, turn, {name} AS character_name, {quoted} AS quote FROM l"),
         "url_slug": r"SELECT page_id, lower(replace(regexp_extract(url, 'example\.(?:com|net|org)/(.*)', 1), '-', ' ')) AS slug FROM pages",
         "lines_union": sql(LINES + PARAS, "SELECT line_no, narration FROM lines UNION ALL SELECT page_id * 4294967296 + at, line FROM plines"),
-        "name_slug": "SELECT doc_id, replace(upper(s[1]) || lower(s[2:]), ' ', '-') AS slug, lower(replace(s, ' ', '_')) AS table_name "
-                     "FROM (SELECT doc_id, array_to_string(string_split(text, ' ')[1:3], ' ') AS s FROM documents)",
+        "name_slug": "SELECT p_partkey, replace(upper(s[1]) || lower(s[2:]), ' ', '-') AS slug, lower(replace(s, ' ', '_')) AS table_name "
+                     "FROM (SELECT p_partkey, p_name AS s FROM part)",
         # names
         "alias_resolve": sql(LINES + ALIASES, "SELECT line_no, character_name FROM aliased"),
         "stage_directions": sql(LINES + ALIASES, "SELECT line_no, character_name, line, narration FROM aliased WHERE character_name = ''"),
         "fuzzy_names": sql(NAMED, f"SELECT show, character_name, canonical, ratio FROM fuzzy WHERE ratio >= {MIN_RATIO}"),
-        "levenshtein_names": sql(NAMED, f"SELECT show, character_name, canonical, round(100.0::DOUBLE * (1 - levenshtein(canonical, character_name) / "
-                                 f"greatest(length(canonical), length(character_name))::DOUBLE), 6) AS ratio FROM pairs WHERE ratio >= {EDIT_RATIO}"),
+        "levenshtein_names": sql(NAMED, f"SELECT * FROM (SELECT show, character_name, canonical, round(100.0::DOUBLE * (1 - {edits('canonical', 'character_name')} / "
+                                 f"greatest(length(canonical), length(character_name))::DOUBLE), 6) AS ratio FROM pairs) WHERE ratio >= {EDIT_RATIO}"),
         "partial_names": sql(NAMED, f"SELECT show, character_name, canonical FROM pairs WHERE {HELD}"),
         "resolve_names": sql(NAMED, "SELECT line_no, character_name, line, narration FROM resolved"),
         # documents
-        "punctuate": f"SELECT conv_id, turn, {punct('left(text, length(text) - turn % 2)')} AS line FROM conversations",
+        "punctuate": f"SELECT conv_id, turn, {punct("text || CASE turn % 3 WHEN 0 THEN '' WHEN 1 THEN ' and' ELSE '?' END")} AS line FROM conversations",
         "episode_docs": sql(docs, "SELECT show, episode, text FROM ep_docs"),
         "episode_order": sql(docs, "SELECT show, episode, first AS first_line FROM ep_docs"),
         "season_index": sql(docs, "SELECT show, season_key, episode, first_line FROM seasons"),
@@ -477,7 +491,7 @@ def oracle_sql() -> dict[str, str]:
         "clean_tokens": sql(phr, f"SELECT doc_id, array_to_string({clean(raw_words('text'))}, '|') AS words FROM normed"),
         "number_words": sql([("w", "SELECT l_orderkey AS k, l_linenumber AS i, (l_orderkey * l_orderkey * 1000003 % 1000000007 * l_partkey)::VARCHAR AS token FROM lineitem")],
                             f"SELECT k, i::BIGINT AS i, {number('token')} AS words FROM w"),
-        "stopword_filter": sql(occ, "SELECT corpus, doc_id, pos, term FROM occ WHERE size = 3"),
+        "stopword_filter": sql(occ, "SELECT corpus, doc_id, size, pos, term FROM occ"),
         "short_filter": sql(occ, "SELECT corpus, doc_id, pos, term FROM occ WHERE size = 1"),
         "ngrams": sql(tok + gram_steps(), "SELECT corpus, doc_id, pos, w1 || '_' || w2 AS term FROM placed WHERE w2 IS NOT NULL"),
         "possessive_fold": sql(PHRASED + token_steps() + gram_steps(), f"SELECT corpus, doc_id, pos, {folded('''w1 || '_' || w2 || '_' || w3''')} AS term FROM placed WHERE w3 IS NOT NULL"),
@@ -515,7 +529,7 @@ def oracle_sql() -> dict[str, str]:
         "sentence_vectors": sql(vecs, "SELECT corpus, doc_id, pos, term, round(u, 6) AS u FROM sv"),
         "sentence_graph": sql(vecs, "SELECT corpus, doc_id, src, dst, round(w, 6) AS w FROM sg"),
         "sentence_length_weight": sql(sents, f"SELECT corpus, doc_id, pos, round({length_weight('sentence')}, 6) AS weight FROM sents"),
-        "sentence_rank": sql(summ, "SELECT corpus, doc_id, pos, rank, round(score, 6) AS score FROM lead"),
+        "sentence_rank": sql(summ, "SELECT corpus, doc_id, pos, place AS rank, round(score, 6) AS score FROM ordered"),
         "summary_candidates": sql(summ, "SELECT corpus, doc_id, n, round(sim, 6) AS similarity FROM cand"),
         "summary_length": sql(summ, "SELECT corpus, doc_id, n, round(loss, 6) AS loss FROM best"),
         "summaries": sql(summ, "SELECT corpus, doc_id, ord, pos, sentence, round(score, 6) AS score FROM summaries"),
@@ -545,6 +559,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _turn_summary() -> list:
-    """The first sentence of every line stands for a summary sentence of its episode."""
-    return [("ts", "SELECT show, episode, line_no AS pos, trim(regexp_extract(line, '^([^.]+)', 1)) AS sentence "
-             "FROM resolved WHERE trim(regexp_extract(line, '^([^.]+)', 1)) <> ''")]
+    """Every sentence of a line stands for a summary sentence of its episode."""
+    return [("tl", f"SELECT show, episode, line_no, {sentence_list('line')} AS ss FROM resolved"),
+            ("ts", "SELECT show, episode, line_no * 1000 + at AS pos, sentence FROM (SELECT show, episode, line_no, "
+             "unnest(ss) AS sentence, unnest(range(len(ss))) AS at FROM tl)")]

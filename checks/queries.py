@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -121,10 +121,10 @@ def resolved(spark, sf) -> DataFrame:
 
 
 def turn_sentences(spark, sf) -> DataFrame:
-    """The first sentence of every line stands for a summary sentence of its episode."""
-    first = F.trim(F.regexp_extract("line", "^([^.]+)", 1))
-    return resolved(spark, sf).select("show", "episode", F.col("line_no").alias("pos"),
-                                      first.alias("sentence")).where("sentence <> ''")
+    """Every sentence of a line stands for a summary sentence of its episode."""
+    return resolved(spark, sf).select(
+        "show", "episode", "line_no", F.posexplode(tx.sentences(F.col("line"))).alias("at", "sentence")).select(
+        "show", "episode", (F.col("line_no") * 1000 + F.col("at")).alias("pos"), "sentence")
 
 
 def all_results(spark, sf, kinds=rs.KINDS) -> DataFrame:
@@ -134,14 +134,14 @@ def all_results(spark, sf, kinds=rs.KINDS) -> DataFrame:
 
 def stored_results(spark, sf) -> str:
     """Results, written to the partitioned store and read back by the lookups."""
-    path = tempfile.mkdtemp(prefix="results-", dir=_scratch(spark))
+    path = _scratch(spark, "results")
     tb.put_results(all_results(spark, sf, ("seasons", "episode_text_similarity")), path)
     return path
 
 
-def _scratch(spark) -> str | None:
-    folder = ensure_checkpoint_dir(spark)
-    return folder.removeprefix("file:") if spark.sparkContext.master.startswith("local") else None
+def _scratch(spark, name: str) -> str:
+    """A new path in the folder the driver and all executors share."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def season_results(spark, sf) -> DataFrame:
@@ -152,7 +152,7 @@ def season_results(spark, sf) -> DataFrame:
 
 
 def tsv_roundtrip(spark, sf) -> DataFrame:
-    path = tempfile.mkdtemp(prefix="lines-", dir=_scratch(spark))
+    path = _scratch(spark, "lines")
     tb.append_tsv(lines(spark, sf), path)
     return tb.read_tsv(spark, path)
 
@@ -210,14 +210,16 @@ def spoken(spark, sf) -> DataFrame:
 
 
 def punctuated(spark, sf) -> DataFrame:
-    cut = F.col("text").substr(F.lit(1), (F.length("text") - F.col("turn") % 2).cast("int"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", tx.punctuate(cut).alias("line"))
+    """Turns as they are, and with other endings put behind them."""
+    end = F.when(F.col("turn") % 3 == 0, "").when(F.col("turn") % 3 == 1, " and").otherwise("?")
+    return table(spark, sf, "conversations").select(
+        "conv_id", "turn", tx.punctuate(F.concat("text", end)).alias("line"))
 
 
 def slugs(spark, sf) -> DataFrame:
-    name = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
-    return table(spark, sf, "documents").select(
-        "doc_id", tx.url_slug(name).alias("slug"), tx.table_name(name).alias("table_name"))
+    name = F.col("p_name")
+    return table(spark, sf, "part").select(
+        "p_partkey", tx.url_slug(name).alias("slug"), tx.table_name(name).alias("table_name"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -228,9 +230,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "scan_season": lambda s, d: tb.select_lines(lines(s, d), seasons=[1, 3]),
         "sink_tsv_roundtrip": tsv_roundtrip,
         "embedding_cast": lambda s, d: out(table(s, d, "embeddings").select(
-            "vec_id", F.aggregate(F.transform(tb.decode_vector(F.col("embedding")), lambda x: F.round(x, 6)),
-                                  F.lit(0.0), lambda a, x: a + x).cast("decimal(18,4)").cast("double").alias("total"),
-            F.size("embedding").alias("size"))),
+            "vec_id", F.posexplode(tb.decode_vector(F.col("embedding"))).alias("at", "element")), element=6),
         "lines_json": lambda s, d: pg.lines_json(lines(s, d), ["character_name", "season", "url"]),
         "sink_cleanup": lambda s, d: table(s, d, "documents").select(
             "doc_id", tb.sink_clean(F.concat(F.lit("it’s\t"), "text")).alias("text")),
@@ -276,7 +276,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "clean_tokens": lambda s, d: docs(s, d, config.PHRASE_PREFIX).select("doc_id", F.array_join(
             tx.clean_words(tx.split_words(tx.normalize_text(F.col("text")))), "|").alias("words")),
         "number_words": lambda s, d: out(spelled(s, d)),
-        "stopword_filter": lambda s, d: out(occ(s, d).where("size = 3"), *DOC, "pos", "term"),
+        "stopword_filter": lambda s, d: out(occ(s, d), *DOC, "size", "pos", "term"),
         "short_filter": lambda s, d: out(occ(s, d).where("size = 1"), *DOC, "pos", "term"),
         "ngrams": lambda s, d: out(tokens(s, d).select(*DOC, F.posexplode(
             tm.grams(F.col("tokens"), 2)).alias("pos", "term"))),

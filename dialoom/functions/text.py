@@ -107,7 +107,7 @@ def clean_words(words: Column) -> Column:
 
 
 def number_words(token: Column) -> Column:
-    """English words for an all-digit token of up to 15 digits; others unchanged."""
+    """English words for an all-digit token, to decillions (36 digits); others unchanged."""
     ones, tens = constant_words(wl.ONES), constant_words(wl.TENS)
 
     def below_thousand(n: Column) -> Column:
@@ -120,14 +120,20 @@ def number_words(token: Column) -> Column:
             F.when(hundreds > 0, F.concat(ones[hundreds], F.lit(" hundred"))),
             F.when(rest > 0, small))
 
-    padded = F.lpad(token, 15, "0")
-    groups = [F.substring(padded, 13 - 3 * i, 3).cast("int") for i in range(5)]
-    head = F.concat_ws(", ", *[
-        F.when(groups[i] > 0, F.concat(below_thousand(groups[i]), F.lit(" " + wl.SCALES[i - 1])))
-        for i in (4, 3, 2, 1)])
-    glue = F.when(head == "", "").when(groups[0] < 100, " and ").otherwise(", ")
-    whole = F.when(groups[0] > 0, F.concat(head, glue, below_thousand(groups[0]))).otherwise(head)
-    return F.when(token.rlike("^[0-9]{1,15}$"),
+    padded = F.lpad(token, wl.NUMBER_DIGITS, "0")
+    scales = constant_words(["", *wl.SCALES])
+
+    def group(i: Column) -> Column:
+        return F.substring(padded, wl.NUMBER_DIGITS - 2 - 3 * i, 3).cast("int")
+
+    def scaled(i: Column) -> Column:
+        return F.when(group(i) > 0, F.concat(below_thousand(group(i)), F.lit(" "), scales[i]))
+
+    head = F.array_join(F.transform(F.sequence(F.lit(len(wl.SCALES)), F.lit(1)), scaled), ", ")
+    last = group(F.lit(0))
+    glue = F.when(head == "", "").when(last < 100, " and ").otherwise(", ")
+    whole = F.when(last > 0, F.concat(head, glue, below_thousand(last))).otherwise(head)
+    return F.when(token.rlike(f"^[0-9]{{1,{wl.NUMBER_DIGITS}}}$"),
                   F.when(whole == "", "zero").otherwise(whole)).otherwise(token)
 
 

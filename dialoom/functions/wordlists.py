@@ -170,7 +170,9 @@ SPLIT_WORDS = {
 ONES = """zero one two three four five six seven eight nine ten eleven twelve
 thirteen fourteen fifteen sixteen seventeen eighteen nineteen""".split()
 TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
-SCALES = ("thousand", "million", "billion", "trillion")
+SCALES = """thousand million billion trillion quadrillion quintillion sextillion septillion
+octillion nonillion decillion""".split()
+NUMBER_DIGITS = 3 * (len(SCALES) + 1)
 
 
 def spaced_rules() -> list[tuple[str, str]]:

@@ -7,19 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
-SALTS = 32
-
-
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when the frame has at most max_rows rows; reads no more than one beyond."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
 
 def parallel(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a scan of too few splits over all cores; leave larger scans alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    """Spread rows over all cores by key; a scan may have too few splits for the work that follows."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
 def spread_by(df: DataFrame, *keys: str) -> DataFrame:
@@ -31,20 +22,13 @@ def spread_by(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def join_dimension(facts: DataFrame, dim: DataFrame, keys: Sequence[str], how: str = "inner",
-                   max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def join_dimension(facts: DataFrame, dim: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join a per-key lookup whose keys may be very hot in the facts.
 
-    A counted small lookup is broadcast. A larger one is copied once per salt, so
-    that the rows of a hot key spread over that many tasks.
+    Adaptive execution decides while it runs: it broadcasts a lookup only below the session's
+    size limit, and splits the partitions of hot keys otherwise. Nothing is counted beforehand.
     """
-    keys = list(keys)
-    if is_small(dim, max_rows):
-        return facts.join(F.broadcast(dim), keys, how)
-    salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    others = [c for c in facts.columns if c not in keys] or keys
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int"))
-    return salted.join(salted_dim, [*keys, "_salt"], how).drop("_salt")
+    return facts.join(dim, list(keys), how)
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialoom.functions import text as tx
-from dialoom.operators.common import parallel, settle, spread_by, top_k
+from dialoom.operators.common import parallel, settle, spread_by
 from dialoom.operators.terms import DOC
 from dialoom.params import SummaryParams
 
@@ -76,20 +76,23 @@ def graph_sizes(sentences: DataFrame) -> DataFrame:
 
 
 def ranked_sentences(sentences: DataFrame, ranks: DataFrame, p: SummaryParams) -> DataFrame:
-    """(corpus, doc_id, pos, sentence, score, rank): the leading max_sentences."""
+    """(corpus, doc_id, pos, sentence, score, rank): every sentence, the best first."""
     scored = sentences.join(ranks.withColumnRenamed("node", "pos"), list(SENT)).select(
         *SENT, "sentence", (F.col("rank") * tx.sentence_length_weight(
             F.col("sentence"), p.length_threshold)).alias("score"))
-    return top_k(scored, DOC, [settle(F.col("score")).desc(), "pos"], p.max_sentences)
+    order = Window.partitionBy(*DOC).orderBy(settle(F.col("score")).desc(), "pos")
+    return scored.withColumn("rank", F.row_number().over(order))
 
 
 def candidate_similarity(vectors: DataFrame, ranked: DataFrame, p: SummaryParams) -> DataFrame:
     """(corpus, doc_id, n, similarity) of the n leading sentences' mean to the document.
 
+    Lists of min_sentences to max_sentences are tried, of the ranked sentences of any number.
     The squared length of a sum of unit vectors is the sum of all their products,
     so one pass over products of leading sentences serves every n at once.
     """
-    leading = vectors.join(ranked.select(*SENT, "rank"), list(SENT)).select(*DOC, "term", "rank", "u")
+    tried = ranked.where(F.col("rank") <= p.max_sentences).select(*SENT, "rank")
+    leading = vectors.join(tried, list(SENT)).select(*DOC, "term", "rank", "u")
     whole = vectors.groupBy(*DOC, "term").agg(F.sum("w").alias("d"))
     length = whole.groupBy(*DOC).agg(F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("length"))
     to_doc = (leading.join(whole, [*DOC, "term"]).groupBy(*DOC, F.col("rank").alias("m"))
@@ -119,7 +122,7 @@ def loss_column(n: Column, similarity: Column, penalty: float) -> Column:
 def summary_lengths(similarity: DataFrame, p: SummaryParams) -> DataFrame:
     """(corpus, doc_id, n, loss): the first length with the least loss."""
     loss = similarity.withColumn("loss", loss_column(F.col("n"), F.col("similarity"), p.penalty))
-    least = F.min(F.struct(settle(F.col("loss")).alias("loss"), "n")).alias("least")
+    least = F.min_by(F.struct("n", "loss"), F.struct(settle(F.col("loss")), F.col("n"))).alias("least")
     return loss.groupBy(*DOC).agg(least).select(*DOC, "least.n", "least.loss")
 
 

@@ -20,13 +20,15 @@ class KeyphraseParams:
     position_mode: str = "exact"              # or "contains": a token may hold the word
 
     def __post_init__(self) -> None:
+        if any(not 1 <= n <= 6 for n in self.sizes):
+            raise ValueError(f"phrase lengths are 1 to 6, not {self.sizes}")
         if self.position_mode not in ("exact", "contains"):
             raise ValueError(f"unknown position mode {self.position_mode!r}")
         check_measure(self.measure)
 
     @property
     def gram_sizes(self) -> tuple[int, ...]:
-        return tuple(sorted({1, *(n for n in self.sizes if 2 <= n <= 6)}))
+        return tuple(sorted({1, *self.sizes}))
 
 
 @dataclass(frozen=True)

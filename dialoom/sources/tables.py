@@ -112,9 +112,16 @@ def first_available(spark: SparkSession, path: str, *builders: Callable[[], Data
     raise RuntimeError(f"no source for {path}") from failed
 
 
+RESULT_PARTS = 16
+
+
 def put_results(results: DataFrame, path: str) -> None:
-    """Store results; only the shows and kinds present are replaced."""
-    (check_schema(results, RESULT_SCHEMA).repartition("show", "kind").write.mode("overwrite")
+    """Store results; only the shows and kinds present are replaced.
+
+    A show's kind is spread over RESULT_PARTS tasks by entity.
+    """
+    part = F.pmod(F.xxhash64("entity"), F.lit(RESULT_PARTS))
+    (check_schema(results, RESULT_SCHEMA).repartition("show", "kind", part).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("show", "kind").parquet(path))
 
 
