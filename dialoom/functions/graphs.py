@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 from dialoom.params import RankParams
@@ -57,17 +59,65 @@ def _shortest_paths(dist: np.ndarray, sources: np.ndarray):
     return length, paths, order
 
 
+def _carried_sparse(n: int, src: np.ndarray, dst: np.ndarray, length: np.ndarray, load: bool,
+                    sources: np.ndarray) -> np.ndarray:
+    """What the vertices carry for the given sources, on adjacency lists: memory follows the edges."""
+    near: list[dict[int, float]] = [{} for _ in range(n)]
+    for a, b, far in zip(src.tolist(), dst.tolist(), length.tolist()):
+        near[a][b] = near[b][a] = far
+    total = np.zeros(n)
+    for source in sources.tolist():
+        best, paths, before = {source: 0.0}, {source: 1.0}, {source: []}
+        settled: set[int] = set()
+        order, queue = [], [(0.0, source)]
+        while queue:
+            far, v = heapq.heappop(queue)
+            if v in settled:
+                continue
+            settled.add(v)
+            order.append(v)
+            for u, step in near[v].items():
+                if u in settled:
+                    continue
+                reach = far + step
+                known = best.get(u)
+                if known is None or reach < known:
+                    best[u], paths[u], before[u] = reach, paths[v], [v]
+                    heapq.heappush(queue, (reach, u))
+                elif reach == known:
+                    paths[u] += paths[v]
+                    before[u].append(v)
+        carried = dict.fromkeys(order, 0.0)
+        for v in reversed(order[1:]):
+            for u in before[v]:
+                part = 1.0 / len(before[v]) if load else paths[u] / paths[v]
+                carried[u] += (1.0 + carried[v]) * part
+            total[v] += carried[v]
+    return total
+
+
+#: Up to so many vertices a graph is held as a matrix, which is faster; the results are the same.
+MATRIX_NODES = 1024
+
+
 def path_centrality(n: int, src: np.ndarray, dst: np.ndarray, length: np.ndarray,
-                    load: bool) -> np.ndarray:
-    """Betweenness (share of shortest paths) or load (even split over predecessors)."""
+                    load: bool, first: int = 0, count: int | None = None) -> np.ndarray:
+    """Betweenness (share of shortest paths) or load (even split over predecessors).
+
+    Paths from `count` sources, `first` onwards; the sum over all blocks of sources is the measure.
+    """
     total = np.zeros(n)
     if n <= 2:
         return total
+    last = n if count is None else min(n, first + count)
+    if n > MATRIX_NODES:
+        carried = _carried_sparse(n, src, dst, length, load, np.arange(first, last))
+        return carried / ((n - 1) * (n - 2))
     dist = np.full((n, n), np.inf)
     dist[src, dst], dist[dst, src] = length, length
     block = max(1, min(n, 4_000_000 // (n * n) + 1))
-    for lo in range(0, n, block):
-        sources = np.arange(lo, min(n, lo + block))
+    for lo in range(first, last, block):
+        sources = np.arange(lo, min(last, lo + block))
         far, paths, order = _shortest_paths(dist, sources)
         rows = np.arange(len(sources))
         carried = np.zeros_like(far)

@@ -20,6 +20,10 @@ from dialoom.params import RankParams, check_measure
 from dialoom.session import cut_lineage
 
 
+#: Sources whose paths one task follows in a large graph.
+SOURCES = 64
+
+
 def rank_column(measure: str, p: RankParams, n: Column, src: Column, dst: Column, w: Column) -> Column:
     """Ranks of one graph's nodes, as an array, from its edge arrays."""
     check_measure(measure)
@@ -60,20 +64,47 @@ def centrality(sizes: DataFrame, edges: DataFrame, keys: Sequence[str], measure:
     """(keys, node, rank) for graphs of any size; sizes holds (keys, n)."""
     keys = list(keys)
     edges = cut_lineage(edges.select(*keys, F.col("src").cast("int"), F.col("dst").cast("int"), "w"))
-    large = (edges.groupBy(*keys).agg(F.count("*").alias("m"))
-             .where(F.col("m") > p.max_group_edges).select(*keys))
+    many = edges.groupBy(*keys).agg(F.count("*").alias("m")).where(F.col("m") > p.max_group_edges)
+    large = cut_lineage(many.select(*keys).unionByName(
+        sizes.where(F.col("n") > p.max_group_nodes).select(*keys)).distinct())
     if large.isEmpty():
         return rank_rows(graph_rows(sizes, edges, keys), keys, measure, p)
-    if measure != "pagerank":
-        raise ValueError(f"{measure} needs graphs of at most {p.max_group_edges} edges; "
-                         "raise max_group_edges or rank by pagerank")
-    large = cut_lineage(large)
     small = rank_rows(graph_rows(sizes.join(large, keys, "left_anti"),
                                  edges.join(large, keys, "left_anti"), keys), keys, measure, p)
-    return small.unionByName(pagerank_by_rounds(
+    by_parts = pagerank_by_rounds if measure == "pagerank" else (
+        lambda *graphs_of: path_measure_by_sources(*graphs_of, measure=measure))
+    return small.unionByName(by_parts(
         sizes.join(large, keys, "left_semi"), edges.join(large, keys, "left_semi"), keys, p))
 
 
+def path_measure_by_sources(sizes: DataFrame, edges: DataFrame, keys: Sequence[str], p: RankParams,
+                            measure: str) -> DataFrame:
+    """Betweenness or load of large graphs: every task follows the paths of one block of sources.
+
+    A task holds the edges of its graph as lists, and the parts of a node are summed. So a graph's
+    edges must fit a task, but neither its number of nodes squared nor all its work.
+    """
+    keys = list(keys)
+
+    @F.pandas_udf("array<double>")
+    def carried(n: pd.Series, first: pd.Series, src: pd.Series, dst: pd.Series, w: pd.Series) -> pd.Series:
+        out = []
+        for size, start, a, b, weight in zip(n, first, src, dst, w):
+            weight = np.asarray(weight, dtype=np.float64)
+            out.append(graphs.path_centrality(
+                size, np.asarray(a, np.int64), np.asarray(b, np.int64), 1.0 / weight if p.invert else weight,
+                measure == "load centrality", start, SOURCES))
+        return pd.Series(out)
+
+    blocks = (graph_rows(sizes.where("n > 0"), edges, keys)
+              .withColumn("first", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1, F.lit(SOURCES))))
+              .repartition(*keys, "first"))
+    parts = blocks.select(*keys, carried(
+        F.col("n"), F.col("first"), F.col("edges.src"), F.col("edges.dst"), F.col("edges.w")).alias("parts"))
+    return (parts.select(*keys, F.posexplode("parts").alias("node", "part"))
+            .groupBy(*keys, "node").agg(F.sum("part").alias("rank")))
+
+
 def pagerank_by_rounds(sizes: DataFrame, edges: DataFrame, keys: Sequence[str],
                        p: RankParams = RankParams()) -> DataFrame:
     """PageRank of graphs too large for one task: a join and an aggregation per round.

@@ -52,7 +52,8 @@ class RankParams:
     tolerance: float = 1e-6
     max_rounds: int = 100
     rounds: int | None = None
-    max_group_edges: int = 1_000_000          # larger graphs are ranked by distributed rounds
+    max_group_edges: int = 1_000_000          # larger graphs are spread over tasks
+    max_group_nodes: int = 1024               # and so are graphs of more nodes
     invert: bool = False                      # path measures: length 1/weight, not the weight
 
 

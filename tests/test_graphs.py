@@ -122,3 +122,32 @@ def test_dense_neighbours_against_brute_force(spark, monkeypatch, block, pivots)
     for i in range(len(v)):
         order = sorted((j for j in range(len(v)) if j != i), key=lambda j: (-sims[i, j], j))[:5]
         assert [o for _, o in sorted(got[i])] == order
+
+
+@pytest.mark.parametrize("load", [False, True])
+def test_lists_equal_the_matrix(load, monkeypatch):
+    made = np.random.default_rng(4)
+    for n in (3, 9, 40):
+        edges = {(min(a, b), max(a, b)): float(made.integers(1, 4)) for a, b in made.integers(0, n, (3 * n, 2)) if a != b}
+        graph = arrays([(a, b, w) for (a, b), w in edges.items()])
+        matrix = graphs.path_centrality(n, *graph, load=load)
+        parts = sum(graphs.path_centrality(n, *graph, load=load, first=i, count=7) for i in range(0, n, 7))
+        monkeypatch.setattr(graphs, "MATRIX_NODES", 0)
+        assert graphs.path_centrality(n, *graph, load=load) == pytest.approx(matrix)
+        monkeypatch.undo()
+        assert parts == pytest.approx(matrix)
+
+
+@pytest.mark.parametrize("measure", ["betweenness centrality", "load centrality"])
+def test_large_graphs_are_ranked_alike(spark, measure):
+    made = np.random.default_rng(5)
+    rows = {(int(min(a, b)), int(max(a, b))): float(made.integers(1, 4)) for a, b in made.integers(0, 150, (500, 2)) if a != b}
+    edges = spark.createDataFrame([("g", a, b, w) for (a, b), w in rows.items()], "g string, src int, dst int, w double")
+    sizes = spark.createDataFrame([("g", 150), ("h", 2)], "g string, n int")
+
+    def ranks(p):
+        return {(r.g, r.node): r["rank"] for r in centrality(sizes, edges, ["g"], measure, p).collect()}
+
+    whole = ranks(RankParams())
+    assert ranks(RankParams(max_group_edges=1)) == pytest.approx(whole)
+    assert ranks(RankParams(max_group_nodes=100)) == pytest.approx(whole)
