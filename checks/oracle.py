@@ -288,8 +288,14 @@ def similar_steps(p: str = "") -> list:
     return doc_vector_steps(p) + [
         (f"{p}dsim", f"SELECT a.corpus, a.doc_id, b.doc_id AS other, sum(a.u * b.u) AS sim FROM {p}dv a JOIN {p}dv b "
          "ON a.corpus = b.corpus AND a.term = b.term AND a.doc_id <> b.doc_id GROUP BY ALL"),
+        (f"{p}low", f"SELECT corpus, doc_id AS other FROM {p}docs QUALIFY row_number() OVER "
+         "(PARTITION BY corpus ORDER BY doc_id) <= 21"),
+        (f"{p}unlike", f"SELECT d.corpus, d.doc_id, l.other, 0.0::DOUBLE AS sim FROM {p}docs d JOIN {p}low l "
+         f"ON d.corpus = l.corpus AND d.doc_id <> l.other WHERE NOT EXISTS (SELECT 1 FROM {p}dsim s "
+         "WHERE s.corpus = d.corpus AND s.doc_id = d.doc_id AND s.other = l.other)"),
         (f"{p}near", "SELECT corpus, doc_id, other, sim, row_number() OVER (PARTITION BY corpus, doc_id "
-         f"ORDER BY round(sim, 9) DESC, other) AS rank FROM {p}dsim QUALIFY rank <= 10")]
+         f"ORDER BY round(sim, 9) DESC, other) AS rank FROM (SELECT * FROM {p}dsim UNION ALL SELECT * FROM {p}unlike) "
+         "QUALIFY rank <= 10")]
 
 
 # the sharp s has a two-letter capital in Java, as in Python
