@@ -409,7 +409,7 @@ def sql(steps: list, final: str) -> str:
     for name, body in steps:
         if name not in seen:
             seen.add(name)
-            kept = "MATERIALIZED " if "walk" in name or "links" in name else ""
+            kept = "MATERIALIZED " if "walk" in name or "links" in name or name == "terms" else ""
             parts.append(f"{name} AS {kept}({body})")
     return quoted_names(("WITH " + ",\n".join(parts) + "\n" if parts else "") + final)
 

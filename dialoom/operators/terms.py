@@ -154,14 +154,21 @@ def with_tfidf(terms: DataFrame, df: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def subsumption_corrected(terms: DataFrame) -> DataFrame:
-    """Take from each word's count the counts of the phrases that hold it."""
-    held = (terms.where("n >= 2")
-            .select(*DOC, F.explode(F.split("term", "_")).alias("term"), F.col("tf").alias("held"))
-            .groupBy(*DOC, "term").agg(F.sum("held").alias("held")))
-    return (terms.join(held, [*DOC, "term"], "left")
-            .withColumn("tf", F.when(F.col("n") == 1, F.col("tf") - F.coalesce("held", F.lit(0)))
-                        .otherwise(F.col("tf")))
-            .drop("held"))
+    """Take from each word's count the counts of the phrases that hold it.
+
+    One aggregation: a phrase sends its count to its words, a term its own row to itself.
+    """
+    rest = [c for c in terms.columns if c not in (*DOC, "term")]
+    itself = F.struct(F.col("term").alias("term"), F.lit(0).cast("long").alias("held"), F.struct(*rest).alias("own"))
+    words = F.transform(F.split("term", "_"), lambda w: F.struct(
+        w.alias("term"), F.col("tf").cast("long").alias("held"),
+        F.when(F.lit(False), F.struct(*rest)).alias("own")))
+    sent = F.when(F.col("n") >= 2, F.concat(F.array(itself), words)).otherwise(F.array(itself))
+    met = (terms.select(*DOC, F.inline(sent)).groupBy(*DOC, "term")
+           .agg(F.first("own", ignorenulls=True).alias("own"), F.sum("held").alias("held"))
+           .where("own IS NOT NULL").select(*DOC, "term", "own.*", "held"))
+    return met.withColumn("tf", F.when(F.col("n") == 1, F.col("tf") - F.col("held")).otherwise(F.col("tf"))).select(
+        *terms.columns)
 
 
 def first_position_factor(pos: Column, cutoff: int = 5000) -> Column:
