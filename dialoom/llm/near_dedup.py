@@ -7,7 +7,7 @@ otherwise need. Two documents of similarity s miss each other in all tables with
 
 Candidates are verified on their whole texts, in steps that leave out what cannot matter: first each
 document against one other of its buckets, in a few rounds; then, only between parts not yet
-connected, all pairs of a bucket. Documents with equal sets are one class throughout.
+connected, the pairs within blocks of a bucket. Documents with equal sets are one class throughout.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ SIDE, HALF = 10, 2
 #: pairs before verification: at 0.85, fewer than LEAST_EQUAL equal ones are 6 deviations away.
 SLOTS, LEAST_EQUAL = 128, 84
 STAR_ROUNDS = 3
-BLOCK = 400
+BLOCK = 256
 REMEMBERED = 300_000
 
 
@@ -158,8 +158,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * both >= PERCENT * (len(x) + len(y) - both):
                     found.append((a, b))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p[i] for p in found], pa.int64()) for i in range(2)], names=["u", "v"])
+            yield _linked(found)
 
     one = texts.select(F.col("c").alias("a"), F.col("packed").alias("left"))
     two = texts.select(F.col("c").alias("b"), F.col("packed").alias("right"))
@@ -167,12 +166,13 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             .mapInArrow(batches, "u long, v long"))
 
 
-def _open_pairs(buckets: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket in different parts that may be similar; each pair comes once.
+def _open_blocks(buckets: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, x, y, members, pairs): per pair of blocks of a bucket, what may still be linked.
 
-    A bucket is cut into blocks of about BLOCK rows, and pairs of blocks are compared side by side
-    in a task, so no bucket is gathered whole. A pair is given out only in the first table it
-    shares, and only when sizes and slots leave it a chance.
+    Only members of different parts count, whose sizes and slots leave them a chance, and only in
+    the first table that a pair shares. A bucket is cut into blocks of about BLOCK rows, compared
+    two by two, so none is gathered whole. A row holds all pairs of its blocks (places in members,
+    packed), so there are as many rows as blocks, however many pairs.
     """
     members = buckets.join(parts, F.col("c") == F.col("u"), "left").withColumn(
         "part", F.coalesce("component", "c"))
@@ -188,46 +188,114 @@ def _open_pairs(buckets: DataFrame, parts: DataFrame) -> DataFrame:
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows = None, []
 
-        def compare(x: int, y: int, rows: list[tuple]) -> list[tuple[int, int]]:
-            if len(rows) < 2:
-                return []
+        def compare() -> Iterator[tuple]:
             own = np.array([r[3] for r in rows])
-            table = rows[0][4]
             c, n, part = (np.array([r[i] for r in rows], np.int64) for i in (5, 6, 7))
             sketch_rows = np.array([r[8] for r in rows], np.int64)
             slot_rows = np.frombuffer(b"".join(r[9] for r in rows), np.uint8).reshape(len(rows), SLOTS)
             found = []
-            for i in range(len(rows)):
-                rest = np.arange(i + 1, len(rows)) if x == y else np.flatnonzero((own != own[i]) & (own > own[i]))
+            for i in range(len(rows) - 1):
+                rest = np.arange(i + 1, len(rows))
+                if group[1] != group[2]:
+                    rest = rest[own[rest] != own[i]]
                 rest = rest[part[rest] != part[i]]
                 rest = rest[100 * np.minimum(n[rest], n[i]) >= PERCENT * np.maximum(n[rest], n[i])]
-                if not len(rest):
-                    continue
-                same = sketch_rows[rest] == sketch_rows[i]
-                first = same[:, :SIDE].argmax(1) * SIDE + same[:, SIDE:].argmax(1)
-                equal = (slot_rows[rest] == slot_rows[i]).sum(1)
-                found += [(min(c[i], c[j]), max(c[i], c[j]))
-                          for j in rest[(first == table) & (equal >= LEAST_EQUAL)]]
-            return found
-
-        def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
+                if len(rest):
+                    same = sketch_rows[rest] == sketch_rows[i]
+                    first = same[:, :SIDE].argmax(1) * SIDE + same[:, SIDE:].argmax(1)
+                    equal = (slot_rows[rest] == slot_rows[i]).sum(1)
+                    rest = rest[(first == rows[0][4]) & (equal >= LEAST_EQUAL)]
+                    found.append(np.column_stack([np.full(len(rest), i), rest]))
+            pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+            if len(pairs):
+                used, places = np.unique(pairs, return_inverse=True)
+                yield (*group, c[used].tolist(), places.astype("<i4").tobytes())
+
+        def out(found: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array([p[i] for p in found], pa.int64()) for i in range(2)], names=["a", "b"])
+                [pa.array([f[i] for f in found], kind) for i, kind in enumerate(
+                    (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()))],
+                names=["key", "x", "y", "members", "pairs"])
 
         for batch in source:
             found = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[:3] != group:
-                    if rows:
-                        found += compare(group[1], group[2], rows)
+                    found += compare() if rows else ()
                     group, rows = row[:3], []
                 rows.append(row)
             yield out(found)
         if rows:
-            yield out(compare(group[1], group[2], rows))
+            yield out(list(compare()))
 
     return (copies.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-            .mapInArrow(batches, "a long, b long"))
+            .mapInArrow(batches, "key long, x int, y int, members array<long>, pairs binary"))
+
+
+def _links_of_blocks(blocks: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v): links that connect what the blocks' pairs link, on whole sets.
+
+    Each block brings its members' texts together once. Members already connected within the block
+    are not compared again, so it gives out fewer links than members.
+    """
+    asked = blocks.select("key", "x", "y", F.explode("members").alias("c")).join(texts, "c").select(
+        "key", "x", "y", "c", "packed", F.lit(None).cast("array<long>").alias("members"))
+    lists = blocks.select("key", "x", "y", F.lit(None).cast("long").alias("c"), F.col("pairs").alias("packed"), "members")
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, unpress = _Words(), zstandard.ZstdDecompressor()
+        group, held, pairs, order = None, {}, None, []
+
+        def links() -> Iterator[tuple[int, int]]:
+            sets = [held[c] for c in order]
+            ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            each = np.split(ids, np.cumsum([len(x) for x in sets])[:-1])
+            above = list(range(len(order)))
+
+            def top(a: int) -> int:
+                while above[a] != a:
+                    above[a] = a = above[above[a]]
+                return a
+
+            by_left = np.split(pairs, np.flatnonzero(np.diff(pairs[:, 0])) + 1)
+            flags = np.zeros(int(ids.max()) + 1, bool)
+            for some in by_left:
+                a = int(some[0, 0])
+                rest = [b for b in some[:, 1].tolist() if top(b) != top(a)]
+                if not rest:
+                    continue
+                flags[each[a]] = True
+                for b in rest:
+                    if top(b) == top(a):
+                        continue
+                    both = int(flags[each[b]].sum())
+                    if 100 * both >= PERCENT * (len(each[a]) + len(each[b]) - both):
+                        above[top(b)] = top(a)
+                        yield order[a], order[b]
+                flags[each[a]] = False
+
+        for batch in source:
+            found: list[tuple[int, int]] = []
+            for key, x, y, c, packed, members in zip(*(col.to_pylist() for col in batch.columns)):
+                if (key, x, y) != group:
+                    found += links() if group else ()
+                    group, held = (key, x, y), {}
+                if c is None:  # sorted before the members
+                    pairs, order = np.frombuffer(packed, "<i4").reshape(-1, 2), members
+                else:
+                    held[c] = shingle_set(unpress.decompress(packed).decode(), words)
+            yield _linked(found)
+        if group:
+            yield _linked(list(links()))
+
+    return (lists.unionByName(asked).repartition("key", "x", "y")
+            .sortWithinPartitions("key", "x", "y", F.col("c").asc_nulls_first())
+            .mapInArrow(batches, "u long, v long"))
+
+
+def _linked(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([p[i] for p in found], pa.int64()) for i in range(2)], names=["u", "v"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -277,9 +345,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         tried = best if tried is None else tried.unionByName(best)
         parts = written(components(links), "parts")
     marks = sketched.select(F.col("rid").alias("c"), "sketches", "slots")
-    open_pairs = _open_pairs(buckets.drop("centre", "centre_n").join(marks, "c"), parts)
-    open_pairs = written(open_pairs, "pairs")
-    links = written(links.unionByName(_confirmed(open_pairs, texts)), "links")
+    blocks = written(_open_blocks(buckets.drop("centre", "centre_n").join(marks, "c"), parts), "blocks")
+    links = written(links.unionByName(_links_of_blocks(blocks, texts)), "links")
     parts = components(links)
     return _named(sketched, parts)
 
