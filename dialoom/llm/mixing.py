@@ -13,7 +13,7 @@ from math import ceil, sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.base import unit_hash
+from dialoom.llm.base import unit_hash, written
 
 SEED = 20
 #: Below this, what is left of a distribution's tail is no longer seen by a 52-bit hash.
@@ -58,11 +58,11 @@ def replicated(docs: DataFrame, weights: DataFrame, seed: int = SEED) -> DataFra
     """Rows of docs, each as often as its draw says, with columns `_copy` (from 0) and `_place`.
 
     Repeated rows with the same doc_id and text draw alike; null doc_id and text draw by the rest.
-    The table of distributions has a row per source and is joined; Spark broadcasts it only while
-    it is below its own size limit.
+    The distributions, a row per source, are written first, so that their size is known when the
+    join is planned: below its size limit Spark broadcasts them and no text is shuffled for it.
     """
-    sources = rates(docs, weights).select(
-        F.col("source").alias("_source"), distribution(F.col("rate")).alias("_upto"))
+    sources = written(rates(docs, weights).select(
+        F.col("source").alias("_source"), distribution(F.col("rate")).alias("_upto")), "distributions")
     draw = unit_hash(F.lit(seed), F.col("doc_id"), F.length("text"))
     drawn = docs.withColumn("_draw", draw).join(
         sources, F.col("source").eqNullSafe(F.col("_source")), "left")
