@@ -398,3 +398,28 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         F.col("doc_id").alias("_staying")).distinct()
     return (docs.join(staying, F.col("doc_id").eqNullSafe(F.col("_staying")), "left_semi")
             .dropDuplicates(["doc_id", "text"]))
+
+
+def oracle() -> str:
+    """near_duplicates() for DuckDB, from all pairs of documents that share a shingle."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+    WITH RECURSIVE texts AS (
+      SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'),
+        '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents),
+    shingles AS (
+      SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + {WORDS - 1}), ' ') AS s
+      FROM texts, unnest(range(1, greatest(len(words) - {WORDS - 1}, 1) + 1)) AS t(i) WHERE len(words) > 0),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    common AS (
+      SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y
+      ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+    links AS (
+      SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+      WHERE 100 * c >= {PERCENT} * (p.n + q.n - c)),
+    both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON l.a = r.b),
+    least AS (SELECT a AS doc_id, min(b) AS other FROM reach GROUP BY a)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(other, doc_id)) AS component_id,
+      doc_id = least(doc_id, coalesce(other, doc_id)) AS kept
+    FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)"""

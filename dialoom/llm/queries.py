@@ -60,5 +60,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_poisson_mix": mixing.oracle(), "op5_quality_rules": quality.oracle(),
+    return {"op1_suffix_dedup": suffix_dedup.oracle(), "op9_near_dedup": near_dedup.oracle(),
+            "op2_poisson_mix": mixing.oracle(), "op5_quality_rules": quality.oracle(),
             "op6_lattice_dedup": lattice_dedup.oracle()}

@@ -233,3 +233,29 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             .select("doc_id", "packed", "settled", "doomed")
             .mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, "
                                   "kept_sha256 string, kept binary"))
+
+
+def oracle() -> str:
+    """The same for DuckDB, from every 50-byte window of every document."""
+    return f"""
+    WITH bytes AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
+    windows AS (
+      SELECT doc_id, unnest(range(0, octet_length(t) - {LENGTH - 1})) AS i,
+        unnest(list_transform(range(0, octet_length(t) - {LENGTH - 1}), lambda x: t[x + 1:x + {LENGTH}])) AS s
+      FROM bytes),
+    owners AS (SELECT s, min(doc_id) AS owner FROM windows GROUP BY s),
+    gone AS (SELECT w.doc_id, w.i FROM windows w JOIN owners o USING (s) WHERE o.owner < w.doc_id),
+    marked AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM gone),
+    grouped AS (
+      SELECT doc_id, i, count_if(step IS NULL OR step > {LENGTH}) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM marked),
+    spans AS (SELECT doc_id, g, min(i) AS start, max(i) + {LENGTH} AS stop FROM grouped GROUP BY doc_id, g),
+    between_spans AS (
+      SELECT doc_id, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS low, start AS high FROM spans
+      UNION ALL SELECT s.doc_id, max(stop), any_value(octet_length(t)) FROM spans s JOIN bytes USING (doc_id) GROUP BY s.doc_id),
+    kept AS (
+      SELECT k.doc_id, string_agg(hex(t[low + 1:high]), '' ORDER BY low) AS rest
+      FROM between_spans k JOIN bytes USING (doc_id) GROUP BY k.doc_id),
+    totals AS (SELECT doc_id, sum(stop - start)::BIGINT AS n, count(*) AS k FROM spans GROUP BY doc_id)
+    SELECT doc_id, octet_length(t)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed,
+      coalesce(k, 0)::BIGINT AS n_spans, CASE WHEN rest IS NULL THEN sha256(t) ELSE sha256(unhex(rest)) END AS kept_sha256
+    FROM bytes LEFT JOIN kept USING (doc_id) LEFT JOIN totals USING (doc_id)"""
