@@ -6,7 +6,6 @@ import json
 import os
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +23,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 BLOCK_CHARS = 8_000_000
 SUMS = 1_000_000
 LISTS = "pretoken string, block long, postings binary"
-SUMMED = "rid long, doc_id long, n_bytes long, tokens long"
+SUMMED = "block long, documents binary, sums binary"
 _LISTS = pa.schema([("pretoken", pa.string()), ("block", pa.int64()), ("postings", pa.binary())])
-_SUMMED = pa.schema([(n, pa.int64()) for n in ("rid", "doc_id", "n_bytes", "tokens")])
+_SUMMED = pa.schema([("block", pa.int64()), ("documents", pa.binary()), ("sums", pa.binary())])
 
 
 def _load(path: str):
@@ -91,50 +90,94 @@ def _frequencies(path: str):
 
 
 def _joined(path: str):
-    """Sums of pieces x times per document, from posting lists sorted by pre-token.
+    """Sums of pieces x times, as an array over the documents of each block.
 
     All lists of a pre-token are here and next to each other, so it is encoded once, then joined
-    to each of them.
+    to each of them. Rows about documents pass through.
     """
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _load(path)
-        sums: dict[int, int] = defaultdict(int)
+        sums: dict[int, np.ndarray] = {}
         last, last_pieces = None, 0
 
-        def out(rows: list[tuple]) -> pa.RecordBatch:
+        def out(documents: list[tuple[int, bytes]], summed: dict[int, np.ndarray]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array(list(c), pa.int64()) for c in zip(*rows)], schema=_SUMMED)
+                [pa.array([*(b for b, _ in documents), *summed], pa.int64()),
+                 pa.array([*(d for _, d in documents), *[None] * len(summed)], pa.binary()),
+                 pa.array([*[None] * len(documents), *(s.tobytes() for s in summed.values())], pa.binary())],
+                schema=_SUMMED)
 
         for batch in source:
             pretokens, blocks, postings = (c.to_pylist() for c in batch.columns)
-            new = [p for p in dict.fromkeys(pretokens) if p is not None and p != last]
+            about = [(b, p) for t, b, p in zip(pretokens, blocks, postings) if t is None]
+            if about:
+                yield out(about, {})
+                kept = [r for r in zip(pretokens, blocks, postings) if r[0] is not None]
+                pretokens, blocks, postings = zip(*kept) if kept else ((), (), ())
+            if not pretokens:
+                continue
+            new = [p for p in dict.fromkeys(pretokens) if p != last]
             found = tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            pieces = dict(zip(new, (len(e) for e in found)))
+            pieces = dict(zip(new, map(len, found)))
             if last is not None:
                 pieces.setdefault(last, last_pieces)
-            rows: list[tuple] = []
-            for pretoken, block, packed in zip(pretokens, blocks, postings):
-                if pretoken is None:
-                    rows += [(block + i, doc_id, n, 0) for i, (doc_id, n) in
-                             enumerate(json.loads(packed))]
-                    continue
-                each = pieces[pretoken]
-                pairs = np.frombuffer(packed, "<i4").tolist()
-                for place, times in zip(pairs[::2], pairs[1::2]):
-                    sums[block + place] += each * times
-                last, last_pieces = pretoken, each
-            if rows:
-                yield out(rows)
-            if len(sums) >= SUMS:
-                yield out(list(zip(sums, repeat(None), repeat(None), sums.values())))
-                sums.clear()
+            last, last_pieces = pretokens[-1], pieces[pretokens[-1]]
+            each = np.fromiter(map(pieces.__getitem__, pretokens), np.int64, len(pretokens))
+            sizes = np.fromiter(map(len, postings), np.int64, len(postings)) // 8
+            pairs = np.frombuffer(b"".join(postings), "<i4").reshape(-1, 2)
+            tokens = np.repeat(each, sizes) * pairs[:, 1]
+            block = np.repeat(np.array(blocks, np.int64), sizes)
+            order = np.argsort(block, kind="stable")
+            names, at = np.unique(block[order], return_index=True)
+            for name, rows in zip(names.tolist(), np.split(order, at[1:])):
+                added = np.bincount(pairs[rows, 0], tokens[rows]).astype(np.int64)
+                before = sums.get(name)
+                if before is None or len(before) < len(added):
+                    before, added = added, before
+                if added is not None:
+                    before[:len(added)] += added
+                sums[name] = before
+            if sum(map(len, sums.values())) >= SUMS:
+                yield out([], sums)
+                sums = {}
         if sums:
-            yield out(list(zip(sums, repeat(None), repeat(None), sums.values())))
+            yield out([], sums)
 
     return batches
 
 
+def _per_document(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of documents, from the parts of each block, which stand together."""
+    block, documents, total = None, [], np.zeros(0, np.int64)
+
+    def rows() -> list[tuple]:
+        tokens = np.zeros(len(documents), np.int64)
+        tokens[:len(total)] = total
+        return [(*d, n) for d, n in zip(documents, tokens.tolist())]
+
+    for batch in source:
+        made: list[tuple] = []
+        for name, about, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            if name != block:
+                made += rows()
+                block, documents, total = name, [], np.zeros(0, np.int64)
+            if about is not None:
+                documents = json.loads(about)
+            else:
+                part = np.frombuffer(packed, "<i8")
+                if len(part) > len(total):
+                    total, part = part.copy(), total
+                total[:len(part)] += part
+        yield _counted(made)
+    yield _counted(rows())
+
+
+def _counted(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["doc_id", "n_bytes", "n_tokens"])
+
+
 def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row of docs.
 
@@ -150,8 +193,6 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     dealt = F.coalesce("pretoken", F.col("block").cast("string"))
     sums = (lists.repartition(dealt).sortWithinPartitions("pretoken")
             .mapInArrow(_joined(path), SUMMED))
-    return (sums.groupBy("rid")
-            .agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"),
-                 F.sum("tokens").alias("n_tokens"))
-            .select("doc_id", "n_bytes", "n_tokens",
-                    (F.col("n_tokens") > limit).alias("over_limit")))
+    return (sums.repartition("block").sortWithinPartitions("block")
+            .mapInArrow(_per_document, "doc_id long, n_bytes long, n_tokens long")
+            .withColumn("over_limit", F.col("n_tokens") > limit))
