@@ -6,8 +6,8 @@ otherwise need. Two documents of similarity s miss each other in all tables with
 2 * (1 - s ** HALF) ** SIDE: at 0.85 and the defaults, 6 in a million.
 
 Candidates are verified on their whole texts, in steps that leave out what cannot matter: first each
-document against one other of its buckets, in a few rounds; then, only between parts not yet
-connected, the pairs within blocks of a bucket. Documents with equal sets are one class throughout.
+document against a few centres of its buckets; then, only between parts not yet connected, the pairs
+within blocks of a bucket. Documents with equal sets are one class throughout.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ SIDE, HALF = 10, 2
 #: Minhashes of a document. The first make the sketches; of all a byte is kept, to leave out hopeless
 #: pairs before verification: at 0.85, fewer than LEAST_EQUAL equal ones are 6 deviations away.
 SLOTS, LEAST_EQUAL = 128, 84
-STAR_ROUNDS = 3
+#: Centres of its buckets that a document is compared with before all else.
+STARS = 3
 BLOCK = 256
 REMEMBERED = 300_000
 
@@ -327,23 +328,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = _texts(docs, sketched, needed)
     texts = written(_of_class(texts), "texts")
 
-    links = texts.select(F.col("c").alias("u"), F.col("c").alias("v")).limit(0)
-    parts = links.select("u", F.col("v").alias("component"))
-    tried = None
-    for _ in range(STAR_ROUNDS):
-        stars = buckets.where((F.col("c") != F.col("centre")) & _compatible(F.col("n"), F.col("centre_n")))
-        pairs = stars.groupBy("c", "centre").count().select(
-            F.col("c").alias("a"), F.col("centre").alias("b"), "count")
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = _across(pairs, parts)
-        best = pairs.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
-        best = written(best, "stars")
-        if best.isEmpty():
-            break
-        links = written(links.unionByName(_confirmed(best, texts)), "links")
-        tried = best if tried is None else tried.unionByName(best)
-        parts = written(components(links), "parts")
+    nearest = Window.partitionBy("a").orderBy(F.desc("count"), "b")
+    stars = (buckets.where((F.col("c") != F.col("centre")) & _compatible(F.col("n"), F.col("centre_n")))
+             .groupBy(F.col("c").alias("a"), F.col("centre").alias("b")).count()
+             .withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= STARS)
+             .select("a", "b"))
+    links = written(_confirmed(stars, texts), "links")
+    parts = written(components(links), "parts")
     marks = sketched.select(F.col("rid").alias("c"), "sketches", "slots")
     blocks = written(_open_blocks(buckets.drop("centre", "centre_n").join(marks, "c"), parts), "blocks")
     links = written(links.unionByName(_links_of_blocks(blocks, texts)), "links")
@@ -351,14 +342,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return _named(sketched, parts)
 
 
-def _across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs whose ends are not yet connected."""
-    left = parts.select(F.col("u").alias("a"), F.col("component").alias("pa"))
-    right = parts.select(F.col("u").alias("b"), F.col("component").alias("pb"))
-    return (pairs.join(left, "a", "left").join(right, "b", "left")
-            .where(F.coalesce("pa", "a") != F.coalesce("pb", "b")).select("a", "b", "count"))
-
-
 def _of_class(texts: DataFrame) -> DataFrame:
     """Of rows that share a doc_id, the text that has the class's set."""
 

@@ -92,7 +92,7 @@ def test_documents_against_brute_force(spark):
 
 def test_bucket_blocks_lose_no_pair(spark, monkeypatch):
     """The last step alone, with tiny blocks, finds what the whole does."""
-    monkeypatch.setattr(near_dedup, "STAR_ROUNDS", 0)
+    monkeypatch.setattr(near_dedup, "STARS", 0)
     monkeypatch.setattr(near_dedup, "BLOCK", 3)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = sorted(map(tuple, near_dedup.near_duplicates(docs).collect()))
