@@ -1,6 +1,7 @@
 """Toxicity and licences: folding, matching, learning, held-out accuracy."""
 
 import random
+import re
 
 import pytest
 
@@ -91,6 +92,39 @@ def test_documents_with_license_lines(spark, scanner):
         assert want <= set(got[r.doc_id].split(",")) and (want or got[r.doc_id] == "")
 
 
+def test_statements_inside_long_lines(spark, scanner):
+    texts = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").limit(300).collect()]
+    words = [w for t in texts for line in t.split("\n") if not re.search("licen[sc]e|CC BY", line, re.I) for w in line.split()]
+    made = random.Random(6)
+    lines = {"Licensed under CC BY-NC 4.0.": "cc-by-nc", "Licensed under the Apache License, Version 2.0.": "apache-2.0",
+             "This work is licensed under the GNU General Public License, version 3.": "gpl", "Released under the MIT License.": "mit"}
+    rows, want = [], []
+    for n in (20, 200, 2000):
+        for line, family in lines.items():
+            for _ in range(12):
+                at = made.randrange(len(words) - n)
+                rows.append((len(rows), " ".join([*words[at:at + n // 2], line, *words[at + n // 2:at + n]])))
+                want.append((n, family))
+    rows += [(len(rows) + i, " ".join(words[i * 3000:i * 3000 + 2000])) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.families.split(",") for r in license_scan.license_scan(docs, scanner).collect()}
+    for n in (20, 200, 2000):
+        found = [family in got[i] for i, (size, family) in enumerate(want) if size == n]
+        assert sum(found) >= 0.9 * len(found)
+    assert all(got[i] == [""] for i in range(len(want), len(rows)))
+
+
+def test_windows_cover_lines(spark):
+    sizes = [1, 63, 64, 65, 104, 105, 500]
+    lines = spark.createDataFrame([(n, [str(i) for i in range(n)]) for n in sizes], "n int, words array<string>")
+    rows = license_scan.windowed(lines).collect()
+    whole = license_scan.WINDOW - license_scan.STRIDE + 1
+    for n in sizes:
+        spans = [(r.start, r.start + len(r.words)) for r in rows if r.n == n]
+        assert all(r.words[0] == str(r.start) for r in rows) and max(b - a for a, b in spans) <= license_scan.WINDOW
+        assert all(any(a <= i and min(i + whole, n) <= b for a, b in spans) for i in range(n))
+
+
 def test_empty_training_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert license_scan.license_scan(docs).count() == 0
