@@ -3,7 +3,9 @@
 A source is to supply a given share of all text. Its mean repetition rate is that share over the
 share it has; every document appears a Poisson number of times with that mean. The number comes
 from inverting the distribution at a uniform hash of (seed, doc_id, row text), so it depends on no
-other row, on no partitioning, and comes out the same when a lost task is run again.
+other row, on no partitioning, and comes out the same when a lost task is run again. A rate above
+MOST_RATE, whose distribution would begin below what a double can hold, is cut into equal pieces; the
+number is the sum of their draws, each with a hash of its own.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from dialoom.llm.base import unit_hash, written
 SEED = 20
 #: Below this, what is left of a distribution's tail is no longer seen by a 52-bit hash.
 TAIL_SIGMAS, TAIL_REST = 10, 30
+#: exp(-MOST_RATE) is still a normal double.
+MOST_RATE = 700
 
 
 def uniform_weights(docs: DataFrame) -> DataFrame:
@@ -54,6 +58,30 @@ def distribution(rate: Column) -> Column:
         lambda s: s["upto"])
 
 
+def pieces(rate: Column) -> Column:
+    """How many equal pieces of at most MOST_RATE a rate is drawn in."""
+    return F.greatest(F.ceil(rate / MOST_RATE), F.lit(1)).cast("int")
+
+
+def counted(docs: DataFrame, rated: DataFrame, seed: int = SEED) -> DataFrame:
+    """Rows of docs with `_count`, their draw at the rate that rated (source, rate) has for the source."""
+    sources = written(rated.select(
+        F.col("source").alias("_source"), pieces(F.col("rate")).alias("_pieces"),
+        distribution(F.col("rate") / pieces(F.col("rate"))).alias("_upto")), "distributions")
+    parts = (F.lit(seed), F.col("doc_id"), F.length("text"))
+    drawn = docs.withColumn("_draw", unit_hash(*parts)).join(
+        sources, F.col("source").eqNullSafe(F.col("_source")), "left")
+
+    def count(draw: Column) -> Column:
+        return F.size(F.filter("_upto", lambda c: c <= draw))
+
+    draws = F.transform(F.sequence(F.lit(1), F.col("_pieces") - 1), lambda i: unit_hash(*parts, i))
+    further = F.aggregate(draws, F.lit(0), lambda n, draw: n + count(draw))
+    count_all = count(F.col("_draw")) + F.when(F.col("_pieces") > 1, further).otherwise(0)
+    return (drawn.withColumn("_count", F.when(F.col("_upto").isNull(), 0).otherwise(count_all))
+            .drop("_source", "_pieces", "_upto", "_draw"))
+
+
 def replicated(docs: DataFrame, weights: DataFrame, seed: int = SEED) -> DataFrame:
     """Rows of docs, each as often as its draw says, with columns `_copy` (from 0) and `_place`.
 
@@ -61,18 +89,12 @@ def replicated(docs: DataFrame, weights: DataFrame, seed: int = SEED) -> DataFra
     The distributions, a row per source, are written first, so that their size is known when the
     join is planned: below its size limit Spark broadcasts them and no text is shuffled for it.
     """
-    sources = written(rates(docs, weights).select(
-        F.col("source").alias("_source"), distribution(F.col("rate")).alias("_upto")), "distributions")
-    draw = unit_hash(F.lit(seed), F.col("doc_id"), F.length("text"))
-    drawn = docs.withColumn("_draw", draw).join(
-        sources, F.col("source").eqNullSafe(F.col("_source")), "left")
-    count = F.size(F.filter("_upto", lambda c: c <= F.col("_draw")))
-    return (drawn.withColumn("_count", F.when(F.col("_upto").isNull(), 0).otherwise(count))
+    return (counted(docs, rates(docs, weights), seed)
             .where(F.col("_count") > 0)
             .withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)))
             .withColumn("_place", F.md5(F.concat_ws(
                 ":", F.lit(seed).cast("string"), F.col("doc_id").cast("string"), F.col("_copy").cast("string"))))
-            .drop("_source", "_upto", "_draw", "_count"))
+            .drop("_count"))
 
 
 def shuffled(mixed: DataFrame) -> DataFrame:
@@ -119,4 +141,5 @@ def oracle(seed: int = SEED) -> str:
 
 def most_copies(rate: float) -> int:
     """The largest count a draw at this rate can give."""
-    return ceil(rate + TAIL_SIGMAS * sqrt(rate)) + TAIL_REST
+    n = max(ceil(rate / MOST_RATE), 1)
+    return n * (ceil(rate / n + TAIL_SIGMAS * sqrt(rate / n)) + TAIL_REST)

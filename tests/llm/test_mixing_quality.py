@@ -59,6 +59,36 @@ def test_draws_and_rates(spark):
     assert sorted(mixed[0].asDict()) == ["copy", "doc_id", "place", "source", "text"]
 
 
+def exact_upto(rate):
+    """P(count <= k) from logarithms, for k within 12 deviations of the rate."""
+    low, high = (max(0, int(rate + side * 12 * math.sqrt(rate))) for side in (-1, 1))
+    upto, total = {}, 0.0
+    for k in range(low, high + 1):
+        total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+        upto[k] = total
+    return upto
+
+
+@pytest.mark.parametrize("rate, n", [(690.0, 1000), (750.0, 2000), (5000.0, 1000), (1_000_000.0, 30)])
+def test_large_rates(spark, rate, n):
+    docs = spark.createDataFrame([(i, "some text", None) for i in range(n)], "doc_id long, text string, source string")
+    rated = spark.createDataFrame([(None, rate)], "source string, rate double")
+    counts = sorted(r["_count"] for r in mixing.counted(docs.repartition(4), rated).collect())
+    assert len(counts) == n and len(set(counts)) > n // 20
+    upto = exact_upto(rate)
+    farthest = max(max(abs((i + 1) / n - upto[c]) if i + 1 == n or counts[i + 1] != c else 0,
+                       abs(i / n - upto[c - 1]) if i == 0 or counts[i - 1] != c else 0) for i, c in enumerate(counts))
+    assert farthest < 1.95 / math.sqrt(n)
+    assert counts[-1] <= mixing.most_copies(rate)
+
+
+def test_one_short_document_among_large_sources(spark):
+    rows = [(i, "x" * 4000, "large") for i in range(50)] + [(99, "x" * 100, "small")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    copies = Counter(r.doc_id for r in mixing.mix(docs).collect())[99]
+    assert abs(copies - 1001) < 6 * math.sqrt(1001)
+
+
 def test_mix_odd_rows(spark):
     docs = spark.createDataFrame([(None, None, None), (1, "", "a"), (2, "text", "b"), (2, "text", "b")],
                                  "doc_id long, text string, source string")
