@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from dialoom.llm import byte_bpe, mixing, near_dedup, quality, secret_scan
 from dialoom.llm.base import read, written
 
+#: Least similarity, in hundredths, of near-duplicates in the near-dedup stage; op9_near_dedup has its own.
+NEAR_PERCENT = 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: No SQL engine expresses the byte-pair stage; tests hold the stages against brute force.
@@ -23,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return near_dedup.one_of_each(docs)
+    return near_dedup.one_of_each(docs, NEAR_PERCENT)
 
 
 def secret_scan_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Near-duplicate documents by MinHash with tensored bands, confirmed on full shingle sets.
 
-Two collections of SIDE sketches, each of HALF minhashes, give SIDE * SIDE table keys: one sketch of
-either collection. So 2 * SIDE * HALF minhashes serve as many tables as SIDE * SIDE * 2 * HALF would
+Two collections of `side` sketches, each of HALF minhashes, give side * side table keys: one sketch of
+either collection. So 2 * side * HALF minhashes serve as many tables as side * side * 2 * HALF would
 otherwise need. Two documents of similarity s miss each other in all tables with a chance of about
-2 * (1 - s ** HALF) ** SIDE: at 0.85 and the defaults, 6 in a million.
+2 * (1 - s ** HALF) ** side. side follows from the least similarity, so that this is MISSED at most: 10
+at 0.85, 13 at 0.80.
 
 Candidates are verified on their whole texts, in steps that leave out what cannot matter: first each
 document against a few centres of its buckets; then, only between parts not yet connected, the pairs
@@ -13,6 +14,7 @@ within blocks of a bucket. Documents with equal sets are one class throughout.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, floor, log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +30,28 @@ from dialoom.llm.hashing import ODD, mixed
 
 WORDS = 5
 PERCENT = 85
-SIDE, HALF = 10, 2
+HALF, MISSED = 2, 7e-6
 #: Minhashes of a document. The first make the sketches; of all a byte is kept, to leave out hopeless
-#: pairs before verification: at 0.85, fewer than LEAST_EQUAL equal ones are 6 deviations away.
-SLOTS, LEAST_EQUAL = 128, 84
+#: pairs before verification: those with fewer equal ones than DEVIATIONS allow.
+SLOTS, DEVIATIONS = 128, 6
 #: Centres of its buckets that a document is compared with before all else.
 STARS = 3
 BLOCK = 256
 REMEMBERED = 300_000
 
 
+def side_of(percent: int) -> int:
+    """The fewest sketches of either collection that miss a pair at the similarity MISSED times at most."""
+    s = percent / 100
+    return min(SLOTS // (2 * HALF), ceil(log(MISSED / 2) / log(1 - s ** HALF))) if 0 < s < 1 else 1
+
+
+def least_equal(percent: int) -> int:
+    """Equal minhashes that a pair at the similarity has but for DEVIATIONS of the binomial distribution."""
+    s = percent / 100
+    return max(0, floor(SLOTS * s - DEVIATIONS * sqrt(SLOTS * s * (1 - s))))
+
+
 class _Words(dict):
     """64-bit numbers of words, remembered up to a bound."""
 
@@ -78,11 +92,11 @@ def minhashes(hashes: np.ndarray) -> np.ndarray:
     return mixed(least)
 
 
-def sketch(least: np.ndarray) -> np.ndarray:
-    """2 * SIDE sketches of HALF minhashes each: the left collection, then the right one."""
-    out = np.arange(2 * SIDE, dtype=np.uint64)
+def sketch(least: np.ndarray, side: int) -> np.ndarray:
+    """2 * side sketches of HALF minhashes each: the left collection, then the right one."""
+    out = np.arange(2 * side, dtype=np.uint64)
     for i in range(HALF):
-        out = mixed(out * ODD + least[i:2 * SIDE * HALF:HALF])
+        out = mixed(out * ODD + least[i:2 * side * HALF:HALF])
     return out.view(np.int64)
 
 
@@ -94,7 +108,7 @@ def slots(least: np.ndarray) -> bytes:
 SKETCHED = ("rid long, doc_id long, n_shingles long, class string, sketches array<long>, slots binary")
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, side: int) -> DataFrame:
     """One row per row of docs: its own number, set size, hash of the set, sketches and slots."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +123,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 if len(hashes):
                     least = minhashes(hashes)
                     rows.append((next(numbers), doc_id, len(hashes), xxhash.xxh3_128_hexdigest(hashes),
-                                 sketch(least), slots(least)))
+                                 sketch(least, side), slots(least)))
                 else:
                     rows.append((next(numbers), doc_id, 0, None, None, None))
             yield pa.RecordBatch.from_arrays(
@@ -119,9 +133,9 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(batches, SKETCHED)
 
 
-def _compatible(a: Column, b: Column) -> Column:
+def _compatible(a: Column, b: Column, percent: int) -> Column:
     """Sizes that allow the similarity at all."""
-    return F.lit(100) * F.least(a, b) >= F.lit(PERCENT) * F.greatest(a, b)
+    return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
 
 
 def _texts(docs: DataFrame, sketched: DataFrame, needed: DataFrame) -> DataFrame:
@@ -140,7 +154,7 @@ def _texts(docs: DataFrame, sketched: DataFrame, needed: DataFrame) -> DataFrame
         F.col("rid").alias("c"), "class", "packed")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) whose full sets reach the similarity."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +171,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     last = (b, whole(right))
                 x, y = whole(left), last[1]
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= PERCENT * (len(x) + len(y) - both):
+                if 100 * both >= percent * (len(x) + len(y) - both):
                     found.append((a, b))
             yield _linked(found)
 
@@ -167,7 +181,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             .mapInArrow(batches, "u long, v long"))
 
 
-def _open_blocks(buckets: DataFrame, parts: DataFrame) -> DataFrame:
+def _open_blocks(buckets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """(key, x, y, members, pairs): per pair of blocks of a bucket, what may still be linked.
 
     Only members of different parts count, whose sizes and slots leave them a chance, and only in
@@ -175,6 +189,7 @@ def _open_blocks(buckets: DataFrame, parts: DataFrame) -> DataFrame:
     two by two, so none is gathered whole. A row holds all pairs of its blocks (places in members,
     packed), so there are as many rows as blocks, however many pairs.
     """
+    side, least = side_of(percent), least_equal(percent)
     members = buckets.join(parts, F.col("c") == F.col("u"), "left").withColumn(
         "part", F.coalesce("component", "c"))
     sizes = members.groupBy("key").agg(
@@ -200,12 +215,12 @@ def _open_blocks(buckets: DataFrame, parts: DataFrame) -> DataFrame:
                 if group[1] != group[2]:
                     rest = rest[own[rest] != own[i]]
                 rest = rest[part[rest] != part[i]]
-                rest = rest[100 * np.minimum(n[rest], n[i]) >= PERCENT * np.maximum(n[rest], n[i])]
+                rest = rest[100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i])]
                 if len(rest):
                     same = sketch_rows[rest] == sketch_rows[i]
-                    first = same[:, :SIDE].argmax(1) * SIDE + same[:, SIDE:].argmax(1)
+                    first = same[:, :side].argmax(1) * side + same[:, side:].argmax(1)
                     equal = (slot_rows[rest] == slot_rows[i]).sum(1)
-                    rest = rest[(first == rows[0][4]) & (equal >= LEAST_EQUAL)]
+                    rest = rest[(first == rows[0][4]) & (equal >= least)]
                     found.append(np.column_stack([np.full(len(rest), i), rest]))
             pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
             if len(pairs):
@@ -233,7 +248,7 @@ def _open_blocks(buckets: DataFrame, parts: DataFrame) -> DataFrame:
             .mapInArrow(batches, "key long, x int, y int, members array<long>, pairs binary"))
 
 
-def _links_of_blocks(blocks: DataFrame, texts: DataFrame) -> DataFrame:
+def _links_of_blocks(blocks: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """(u, v): links that connect what the blocks' pairs link, on whole sets.
 
     Each block brings its members' texts together once. Members already connected within the block
@@ -270,7 +285,7 @@ def _links_of_blocks(blocks: DataFrame, texts: DataFrame) -> DataFrame:
                     if top(b) == top(a):
                         continue
                     both = int(flags[each[b]].sum())
-                    if 100 * both >= PERCENT * (len(each[a]) + len(each[b]) - both):
+                    if 100 * both >= percent * (len(each[a]) + len(each[b]) - both):
                         above[top(b)] = top(a)
                         yield order[a], order[b]
                 flags[each[a]] = False
@@ -299,21 +314,22 @@ def _linked(found: list[tuple[int, int]]) -> pa.RecordBatch:
         [pa.array([p[i] for p in found], pa.int64()) for i in range(2)], names=["u", "v"])
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs.
 
     Documents without words (null, empty or blank text) have no shingles and are linked with
-    nothing. Rows with equal sets are one class, repeated rows included. The component is named by
+    nothing. Others are linked from a similarity of percent hundredths on. Rows with equal sets are one class, repeated rows included. The component is named by
     its smallest doc_id; a null doc_id never names one unless alone, and is never kept. Other
     columns are not read; an empty table gives no rows.
     """
-    sketched = written(sketches(docs), "sketches")
+    side = side_of(percent)
+    sketched = written(sketches(docs, side), "sketches")
     classes = (sketched.where("n_shingles > 0").groupBy("class")
                .agg(F.min("rid").alias("c"), F.first("n_shingles").alias("n"),
                     F.first("sketches").alias("sketches")))
     order = F.xxhash64("c")
-    keys = F.array(*[F.xxhash64(F.lit(i), F.lit(j), F.col("sketches")[i], F.col("sketches")[SIDE + j])
-                     for i in range(SIDE) for j in range(SIDE)])
+    keys = F.array(*[F.xxhash64(F.lit(i), F.lit(j), F.col("sketches")[i], F.col("sketches")[side + j])
+                     for i in range(side) for j in range(side)])
     in_bucket = Window.partitionBy("key").orderBy("order", "c")
     buckets = (classes.select("c", "n", F.posexplode(keys).alias("table", "key"))
                .select("table", "key", "c", F.col("n").cast("int").alias("n"), order.alias("order"))
@@ -329,15 +345,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = written(_of_class(texts), "texts")
 
     nearest = Window.partitionBy("a").orderBy(F.desc("count"), "b")
-    stars = (buckets.where((F.col("c") != F.col("centre")) & _compatible(F.col("n"), F.col("centre_n")))
+    stars = (buckets.where((F.col("c") != F.col("centre")) & _compatible(F.col("n"), F.col("centre_n"), percent))
              .groupBy(F.col("c").alias("a"), F.col("centre").alias("b")).count()
              .withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= STARS)
              .select("a", "b"))
-    links = written(_confirmed(stars, texts), "links")
+    links = written(_confirmed(stars, texts, percent), "links")
     parts = written(components(links), "parts")
     marks = sketched.select(F.col("rid").alias("c"), "sketches", "slots")
-    blocks = written(_open_blocks(buckets.drop("centre", "centre_n").join(marks, "c"), parts), "blocks")
-    links = written(links.unionByName(_links_of_blocks(blocks, texts)), "links")
+    blocks = written(_open_blocks(buckets.drop("centre", "centre_n").join(marks, "c"), parts, percent), "blocks")
+    links = written(links.unionByName(_links_of_blocks(blocks, texts, percent)), "links")
     parts = components(links)
     return _named(sketched, parts)
 
@@ -371,13 +387,13 @@ def _named(sketched: DataFrame, parts: DataFrame) -> DataFrame:
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each group of near-duplicates: that with the smallest doc_id.
 
     Documents without words all stay. Rows that repeat doc_id and text become one. Rows with a null
     doc_id stay when no document with an id is near them. All columns stay.
     """
-    staying = near_duplicates(docs).where("kept OR component_id IS NULL").select(
+    staying = near_duplicates(docs, percent).where("kept OR component_id IS NULL").select(
         F.col("doc_id").alias("_staying")).distinct()
     return (docs.join(staying, F.col("doc_id").eqNullSafe(F.col("_staying")), "left_semi")
             .dropDuplicates(["doc_id", "text"]))

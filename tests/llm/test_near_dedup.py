@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from dialoom.llm import near_dedup
 from dialoom.llm.components import components
 
@@ -97,3 +98,22 @@ def test_bucket_blocks_lose_no_pair(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = sorted(map(tuple, near_dedup.near_duplicates(docs).collect()))
     assert got == brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_bands_follow_the_similarity():
+    assert (near_dedup.side_of(85), near_dedup.least_equal(85)) == (10, 84)
+    assert (near_dedup.side_of(80), near_dedup.least_equal(80)) == (13, 75)
+
+
+def test_pairs_from_80_to_84(spark):
+    rows, similar = [], []
+    for i in range(60):
+        words = [f"p{i}w{j}" for j in range(204)]  # 200 shingles
+        for k in (17, 18, 19, 20, 22, 23, 24):  # k changed at the end: (200 - k) / (200 + k)
+            similar.append((200 - k) / (200 + k))
+            own = [f"k{k}{w}" for w in words]
+            rows += [(len(rows), " ".join(own)), (len(rows) + 1, " ".join(own[:-k] + [f"x{w}" for w in own[-k:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent, one in ((85, {r.doc_id for r in near_dedup.one_of_each(docs).collect()}),
+                         (80, {r.doc_id for r in corpus_pipeline.near_dedup_documents(spark, docs, "").collect()})):
+        assert one == {d for d, _ in rows if d % 2 == 0 or 100 * similar[d // 2] < percent}
