@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoom.llm import byte_bpe, lattice_dedup, license_scan, mixing, near_dedup, quality, secret_scan, suffix_dedup, token_counts, toxicity
+from dialoom.llm import (byte_bpe, filter_audit, lattice_dedup, license_scan, mixing, near_dedup, quality, secret_scan,
+                         spelling, suffix_dedup, token_counts, toxicity, url_rules)
 from dialoom.llm.base import read
 
 
@@ -55,11 +56,27 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                public_tokenizers.PATTERN)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(read(spark, sf_dir, "pages"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_poisson_mix, op3_toxicity, op4_token_counts, op5_quality_rules, op6_lattice_dedup, op7_license_scan, op8_secret_scan, op9_near_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (
+        op1_suffix_dedup, op2_poisson_mix, op3_toxicity, op4_token_counts, op5_quality_rules, op6_lattice_dedup,
+        op7_license_scan, op8_secret_scan, op9_near_dedup, op10_byte_bpe, op11_spelling_variants, op12_url_rules,
+        op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_suffix_dedup": suffix_dedup.oracle(), "op9_near_dedup": near_dedup.oracle(),
             "op2_poisson_mix": mixing.oracle(), "op5_quality_rules": quality.oracle(),
-            "op6_lattice_dedup": lattice_dedup.oracle()}
+            "op6_lattice_dedup": lattice_dedup.oracle(), "op11_spelling_variants": spelling.oracle(),
+            "op13_filter_audit": filter_audit.oracle()}

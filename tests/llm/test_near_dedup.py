@@ -37,11 +37,11 @@ def plain_sets(rows):
     return sets
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = plain_sets(rows)
     ids = sorted(sets)
     links = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1:] if sets[a] and sets[b] and
-             100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+             100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     tops = merged(links)
     return sorted((d, len(sets[d]), tops.get(d, d), tops.get(d, d) == d) for d in ids)
 

@@ -27,7 +27,8 @@ def test_stages(spark):
         results.append(rows)
     start, good, one, clean, mixed, tokens = results
     assert all(not plain_base(r.text)[-1] for r in good) and {r.doc_id for r in good} <= {r.doc_id for r in start}
-    assert {r.doc_id for r in one} == {d for d, _, _, kept in brute([(r.doc_id, r.text) for r in good]) if kept}
+    assert {r.doc_id for r in one} == {d for d, _, _, kept in brute(
+        [(r.doc_id, r.text) for r in good], corpus_pipeline.NEAR_PERCENT) if kept}
     texts = {r.doc_id: r.text for r in one}
     assert {r.doc_id for r in clean} == set(texts)
     for r in clean:
