@@ -1,4 +1,8 @@
-"""The corpus pipeline: quality rules, near-dedup, secrets, mixing, tokens."""
+"""The corpus pipeline: quality rules, near-dedup, secrets, mixing, tokens.
+
+Stages take documents with any further columns, whatever their names, and keep them up to the last stage.
+An empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -20,27 +24,27 @@ ORACLE_SQL: str | None = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go, among them null and empty texts; null ids and repeated rows are judged alike."""
     return quality.good_documents(docs)
 
 
 def near_dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One row of each group of near-duplicates stays, the least doc_id, nulls last; those without words all stay."""
     return near_dedup.one_of_each(docs, NEAR_PERCENT)
 
 
 def secret_scan_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are masked, n_chars follows; no document goes."""
+    """Secrets in the texts are masked, n_chars follows; no row goes, null texts stay null."""
     return secret_scan.redacted(docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every source gets an equal share of the text, by repeating documents; rows are shuffled."""
-    return mixing.mix(docs).select(*docs.columns)
+    """Every source, null as one more, gets an equal share of the text, by repeating documents; rows are shuffled."""
+    return mixing.mixed_rows(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode every row and decode it again."""
+    """Encode every row and decode it again; a null text is empty."""
     return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"),
                                public_tokenizers.PATTERN)
 

@@ -2,8 +2,9 @@
 
 A source is to supply a given share of all text. Its mean repetition rate is that share over the
 share it has; every document appears a Poisson number of times with that mean. The number comes
-from inverting the distribution at a uniform hash of (seed, doc_id, row text), so it depends on no
-other row, on no partitioning, and comes out the same when a lost task is run again. A rate above
+from inverting the distribution at a uniform hash of (seed, doc_id, length of the text), or of the text
+itself where the doc_id is null. So it depends on no other row, on no partitioning, and comes out the
+same when a lost task is run again; rows with equal ids and lengths draw alike. A rate above
 MOST_RATE, whose distribution would begin below what a double can hold, is cut into equal pieces; the
 number is the sum of their draws, each with a hash of its own.
 """
@@ -63,54 +64,67 @@ def pieces(rate: Column) -> Column:
     return F.greatest(F.ceil(rate / MOST_RATE), F.lit(1)).cast("int")
 
 
+def _name() -> Column:
+    """What a row is hashed by: its doc_id, or without one its text."""
+    return F.coalesce(F.col("row.doc_id").cast("string"), F.concat(
+        F.lit("text "), F.md5(F.coalesce(F.col("row.text"), F.lit("")))))
+
+
 def counted(docs: DataFrame, rated: DataFrame, seed: int = SEED) -> DataFrame:
-    """Rows of docs with `_count`, their draw at the rate that rated (source, rate) has for the source."""
+    """(row, copies): rows of docs with their draw at the rate that rated (source, rate) has for the source."""
     sources = written(rated.select(
-        F.col("source").alias("_source"), pieces(F.col("rate")).alias("_pieces"),
-        distribution(F.col("rate") / pieces(F.col("rate"))).alias("_upto")), "distributions")
-    parts = (F.lit(seed), F.col("doc_id"), F.length("text"))
-    drawn = docs.withColumn("_draw", unit_hash(*parts)).join(
-        sources, F.col("source").eqNullSafe(F.col("_source")), "left")
+        F.col("source").alias("of"), pieces(F.col("rate")).alias("pieces"),
+        distribution(F.col("rate") / pieces(F.col("rate"))).alias("upto")), "distributions")
+    rows = docs.select(F.struct("*").alias("row"))
+    parts = (F.lit(seed), _name(), F.length("row.text"))
+    drawn = rows.withColumn("draw", unit_hash(*parts)).join(
+        sources, F.col("row.source").eqNullSafe(F.col("of")), "left")
 
     def count(draw: Column) -> Column:
-        return F.size(F.filter("_upto", lambda c: c <= draw))
+        return F.size(F.filter("upto", lambda c: c <= draw))
 
-    draws = F.transform(F.sequence(F.lit(1), F.col("_pieces") - 1), lambda i: unit_hash(*parts, i))
+    draws = F.transform(F.sequence(F.lit(1), F.col("pieces") - 1), lambda i: unit_hash(*parts, i))
     further = F.aggregate(draws, F.lit(0), lambda n, draw: n + count(draw))
-    count_all = count(F.col("_draw")) + F.when(F.col("_pieces") > 1, further).otherwise(0)
-    return (drawn.withColumn("_count", F.when(F.col("_upto").isNull(), 0).otherwise(count_all))
-            .drop("_source", "_pieces", "_upto", "_draw"))
+    count_all = count(F.col("draw")) + F.when(F.col("pieces") > 1, further).otherwise(0)
+    return drawn.select("row", F.when(F.col("upto").isNull(), 0).otherwise(count_all).alias("copies"))
 
 
 def replicated(docs: DataFrame, weights: DataFrame, seed: int = SEED) -> DataFrame:
-    """Rows of docs, each as often as its draw says, with columns `_copy` (from 0) and `_place`.
+    """(row, copy, place): rows of docs, each as often as its draw says; copy counts from 0.
 
-    Repeated rows with the same doc_id and text draw alike; null doc_id and text draw by the rest.
     The distributions, a row per source, are written first, so that their size is known when the
     join is planned: below its size limit Spark broadcasts them and no text is shuffled for it.
     """
     return (counted(docs, rates(docs, weights), seed)
-            .where(F.col("_count") > 0)
-            .withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)))
-            .withColumn("_place", F.md5(F.concat_ws(
-                ":", F.lit(seed).cast("string"), F.col("doc_id").cast("string"), F.col("_copy").cast("string"))))
-            .drop("_count"))
+            .where(F.col("copies") > 0)
+            .select("row", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+            .withColumn("place", F.md5(F.concat_ws(
+                ":", F.lit(seed).cast("string"), _name(), F.col("copy").cast("string")))))
 
 
 def shuffled(mixed: DataFrame) -> DataFrame:
     """Rows dealt out by a hash and put in hash order within each part: a global shuffle."""
-    return mixed.repartition("_place").sortWithinPartitions("_place")
+    return mixed.repartition("place").sortWithinPartitions("place")
+
+
+def mixed_rows(docs: DataFrame, weights: DataFrame | None = None, seed: int = SEED) -> DataFrame:
+    """docs mixed to the weights (source, weight) and shuffled globally, with the columns of docs only.
+
+    Weights are equal by default. Null texts have length 0 for the shares; a null source is one more
+    source; null ids and repeated rows are drawn each by their hash. Columns may have any names; an empty
+    table gives no rows.
+    """
+    return shuffled(replicated(docs, uniform_weights(docs) if weights is None else weights, seed)).select("row.*")
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, seed: int = SEED) -> DataFrame:
-    """docs mixed to the weights (source, weight) and shuffled globally.
+    """As mixed_rows(), with `copy` (which repetition of the document) and `place` (a hash) beside docs.
 
-    Adds `copy` (which repetition of the document) and `place` (a hash: reading in its order gives
-    the shuffled order). Columns of these names in docs are replaced. An empty table gives no rows.
+    Reading in the order of place gives the shuffled order. Columns of these names in docs are replaced.
     """
-    mixed = replicated(docs, uniform_weights(docs) if weights is None else weights, seed)
-    return (shuffled(mixed).drop("copy", "place")
-            .withColumnsRenamed({"_copy": "copy", "_place": "place"}))
+    mixed = shuffled(replicated(docs, uniform_weights(docs) if weights is None else weights, seed))
+    own = [f"row.`{c}`" for c in docs.columns if c not in ("copy", "place")]
+    return mixed.select(*own, "copy", "place")
 
 
 def oracle(seed: int = SEED) -> str:

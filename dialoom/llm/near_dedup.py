@@ -7,8 +7,9 @@ otherwise need. Two documents of similarity s miss each other in all tables with
 at 0.85, 13 at 0.80.
 
 Candidates are verified on their whole texts, in steps that leave out what cannot matter: first each
-document against a few centres of its buckets; then, only between parts not yet connected, the pairs
-within blocks of a bucket. Documents with equal sets are one class throughout.
+document against a few centres of its buckets; then, in buckets that are not yet connected, those outside
+the largest part against centres of that part; last, the pairs between different parts, within blocks of
+a bucket. Documents with equal sets are one class throughout.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dialoom.llm.base import row_numbers, written
+from dialoom.llm.base import free_name, written
 from dialoom.llm.components import components
 from dialoom.llm.hashing import ODD, mixed
 
@@ -34,8 +35,9 @@ HALF, MISSED = 2, 7e-6
 #: Minhashes of a document. The first make the sketches; of all a byte is kept, to leave out hopeless
 #: pairs before verification: those with fewer equal ones than DEVIATIONS allow.
 SLOTS, DEVIATIONS = 128, 6
-#: Centres of its buckets that a document is compared with before all else.
-STARS = 3
+#: Centres of its buckets that a document is compared with before all else, and how often again, with other
+#: centres, where that leaves a bucket in parts.
+STARS, AGAIN = 3, 2
 BLOCK = 256
 REMEMBERED = 300_000
 
@@ -43,7 +45,10 @@ REMEMBERED = 300_000
 def side_of(percent: int) -> int:
     """The fewest sketches of either collection that miss a pair at the similarity MISSED times at most."""
     s = percent / 100
-    return min(SLOTS // (2 * HALF), ceil(log(MISSED / 2) / log(1 - s ** HALF))) if 0 < s < 1 else 1
+    side = ceil(log(MISSED / 2) / log(1 - s ** HALF)) if 0 < s < 1 else 1
+    if not 0 < s <= 1 or 2 * side * HALF > SLOTS:
+        raise ValueError(f"{SLOTS} minhashes do not find pairs of {percent} % as surely as promised")
+    return side
 
 
 def least_equal(percent: int) -> int:
@@ -105,32 +110,37 @@ def slots(least: np.ndarray) -> bytes:
     return (least & np.uint64(255)).astype(np.uint8).tobytes()
 
 
-SKETCHED = ("rid long, doc_id long, n_shingles long, class string, sketches array<long>, slots binary")
+SKETCHED = "rid long, doc_id long, n_shingles long, class string, sketches array<long>, slots binary"
 
 
-def sketches(docs: DataFrame, side: int) -> DataFrame:
-    """One row per row of docs: its own number, set size, hash of the set, sketches and slots."""
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a number for every row in a column of that name, written so that it stays the same."""
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
+def sketches(rows: DataFrame, side: int) -> DataFrame:
+    """One row per row (rid, doc_id, text): set size, hash of the set, sketches and slots."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, numbers = _Words(), row_numbers()
+        words = _Words()
         schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()),
                             ("class", pa.string()), ("sketches", pa.list_(pa.int64())),
                             ("slots", pa.binary())])
         for batch in source:
-            rows = []
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+            found = []
+            for rid, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 hashes = shingle_set(text, words)
                 if len(hashes):
                     least = minhashes(hashes)
-                    rows.append((next(numbers), doc_id, len(hashes), xxhash.xxh3_128_hexdigest(hashes),
-                                 sketch(least, side), slots(least)))
+                    found.append((rid, doc_id, len(hashes), xxhash.xxh3_128_hexdigest(hashes),
+                                  sketch(least, side), slots(least)))
                 else:
-                    rows.append((next(numbers), doc_id, 0, None, None, None))
+                    found.append((rid, doc_id, 0, None, None, None))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, schema)],
+                [pa.array(list(c), f.type) for c, f in zip(zip(*found) if found else [[]] * 6, schema)],
                 schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(batches, SKETCHED)
+    return rows.select("rid", F.col("doc_id").cast("long"), "text").mapInArrow(batches, SKETCHED)
 
 
 def _compatible(a: Column, b: Column, percent: int) -> Column:
@@ -138,7 +148,7 @@ def _compatible(a: Column, b: Column, percent: int) -> Column:
     return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
 
 
-def _texts(docs: DataFrame, sketched: DataFrame, needed: DataFrame) -> DataFrame:
+def _texts(rows: DataFrame, classes: DataFrame, needed: DataFrame) -> DataFrame:
     """(c, packed): a compressed text of each needed class."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,12 +156,11 @@ def _texts(docs: DataFrame, sketched: DataFrame, needed: DataFrame) -> DataFrame
         for batch in source:
             packed = [press.compress((t or "").encode()) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())],
-                                             names=["doc_id", "packed"])
+                                             names=["rid", "packed"])
 
-    of = sketched.join(needed, sketched.rid == needed.c, "left_semi").select("rid", "doc_id", "class")
-    pressed = docs.select("doc_id", "text").mapInArrow(batches, "doc_id long, packed binary")
-    return of.join(pressed, of.doc_id.eqNullSafe(pressed.doc_id)).select(
-        F.col("rid").alias("c"), "class", "packed")
+    of = classes.select("c", "rid").join(needed, "c", "left_semi")
+    pressed = rows.select("rid", "text").mapInArrow(batches, "rid long, packed binary")
+    return of.join(pressed, "rid").select("c", "packed")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -181,40 +190,82 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             .mapInArrow(batches, "u long, v long"))
 
 
-def _open_blocks(buckets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+def _in_parts(buckets: DataFrame, parts: DataFrame) -> DataFrame:
+    """Members of buckets (table, key, c, n) with the part they are connected in so far."""
+    return buckets.join(parts, F.col("c") == F.col("u"), "left").withColumn(
+        "part", F.coalesce("component", "c")).select("table", "key", "c", "n", "part")
+
+
+def _open(members: DataFrame, seed: int) -> DataFrame:
+    """(key, rows, strays, largest, centre) of the buckets in several parts.
+
+    largest is the part with most members, strays counts the others; centre is a member of it, by a hash
+    with the seed.
+    """
+    centre = F.min(F.struct(F.xxhash64(F.lit(seed), "c").alias("h"), F.col("c"), F.col("n"))).alias("centre")
+    by_part = members.groupBy("key", "part").agg(F.count("*").alias("size"), centre)
+    return (by_part.groupBy("key").agg(F.sum("size").alias("rows"), F.count("*").alias("parts"),
+                                       F.max(F.struct("size", "part", "centre")).alias("top"))
+            .where("parts > 1")
+            .select("key", "rows", (F.col("rows") - F.col("top.size")).alias("strays"), F.col("top.part").alias("largest"),
+                    F.col("top.centre.c").alias("centre"), F.col("top.centre.n").alias("centre_n")))
+
+
+def _with_centres(pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each document with those STARS centres that it meets in most buckets, of rows (c, n, centre, centre_n)."""
+    nearest = Window.partitionBy("a").orderBy(F.desc("count"), "b")
+    return (pairs.where((F.col("c") != F.col("centre")) & _compatible(F.col("n"), F.col("centre_n"), percent))
+            .groupBy(F.col("c").alias("a"), F.col("centre").alias("b")).count()
+            .withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= STARS)
+            .select("a", "b"))
+
+
+def _dealt(members: DataFrame, marks: DataFrame) -> DataFrame:
+    """(key, x, y, right, ..): members of the buckets in several parts, dealt to pairs of blocks.
+
+    Of two members of different parts one at least is a stray, outside the bucket's largest part. So a
+    bucket is cut into blocks of about BLOCK rows, x, and its strays (right) are cut into blocks as well,
+    y; every x meets every y. Neither is gathered whole, and members of the largest part are copied only
+    as often as there are blocks of strays.
+    """
+    sizes = _open(members, 0).select(
+        "key", "largest", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"),
+        F.ceil(F.col("strays") / BLOCK).cast("int").alias("stray_blocks"))
+    placed = members.join(sizes, "key").join(marks, "c").withColumn("hash", F.xxhash64("c")).withColumn(
+        "stray", F.col("part") != F.col("largest"))
+    rest = ("table", "c", "n", "part", "stray", "sketches", "slots")
+
+    def every(blocks: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+    def own(blocks: str) -> Column:
+        return F.pmod("hash", F.col(blocks)).cast("int")
+
+    return placed.select("key", own("blocks").alias("x"), every("stray_blocks").alias("y"), F.lit(False).alias("right"), *rest).unionByName(
+        placed.where("stray").select("key", every("blocks").alias("x"), own("stray_blocks").alias("y"), F.lit(True).alias("right"), *rest))
+
+
+def _open_blocks(members: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """(key, x, y, members, pairs): per pair of blocks of a bucket, what may still be linked.
 
-    Only members of different parts count, whose sizes and slots leave them a chance, and only in
-    the first table that a pair shares. A bucket is cut into blocks of about BLOCK rows, compared
-    two by two, so none is gathered whole. A row holds all pairs of its blocks (places in members,
-    packed), so there are as many rows as blocks, however many pairs.
+    Only members of different parts count, whose sizes and slots leave them a chance, and only in the
+    first table that a pair shares. A row holds all pairs of its blocks (places in members, packed), so
+    there are as many rows as blocks, however many pairs.
     """
     side, least = side_of(percent), least_equal(percent)
-    members = buckets.join(parts, F.col("c") == F.col("u"), "left").withColumn(
-        "part", F.coalesce("component", "c"))
-    sizes = members.groupBy("key").agg(
-        F.count("*").alias("rows"), F.min("part").alias("low"), F.max("part").alias("high")
-    ).where("low < high").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
-    placed = members.join(sizes.select("key", "blocks"), "key").withColumn(
-        "own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    copies = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
-        "own", "table", "c", "n", "part", "sketches", "slots")
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows = None, []
 
         def compare() -> Iterator[tuple]:
-            own = np.array([r[3] for r in rows])
+            right, stray = (np.array([r[i] for r in rows], bool) for i in (3, 8))
             c, n, part = (np.array([r[i] for r in rows], np.int64) for i in (5, 6, 7))
-            sketch_rows = np.array([r[8] for r in rows], np.int64)
-            slot_rows = np.frombuffer(b"".join(r[9] for r in rows), np.uint8).reshape(len(rows), SLOTS)
-            found = []
-            for i in range(len(rows) - 1):
-                rest = np.arange(i + 1, len(rows))
-                if group[1] != group[2]:
-                    rest = rest[own[rest] != own[i]]
-                rest = rest[part[rest] != part[i]]
+            sketch_rows = np.array([r[9] for r in rows], np.int64)
+            slot_rows = np.frombuffer(b"".join(r[10] for r in rows), np.uint8).reshape(len(rows), SLOTS)
+            found, lefts = [], np.flatnonzero(~right)
+            for i in np.flatnonzero(right):
+                rest = lefts[part[lefts] != part[i]]
+                rest = rest[~stray[rest] | (c[rest] < c[i])]  # two strays meet both ways round
                 rest = rest[100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i])]
                 if len(rest):
                     same = sketch_rows[rest] == sketch_rows[i]
@@ -224,8 +275,8 @@ def _open_blocks(buckets: DataFrame, parts: DataFrame, percent: int) -> DataFram
                     found.append(np.column_stack([np.full(len(rest), i), rest]))
             pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
             if len(pairs):
-                used, places = np.unique(pairs, return_inverse=True)
-                yield (*group, c[used].tolist(), places.astype("<i4").tobytes())
+                used, places = np.unique(c[pairs], return_inverse=True)
+                yield (*group, used.tolist(), places.reshape(-1).astype("<i4").tobytes())
 
         def out(found: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
@@ -244,7 +295,7 @@ def _open_blocks(buckets: DataFrame, parts: DataFrame, percent: int) -> DataFram
         if rows:
             yield out(list(compare()))
 
-    return (copies.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    return (_dealt(members, marks).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
             .mapInArrow(batches, "key long, x int, y int, members array<long>, pairs binary"))
 
 
@@ -318,20 +369,43 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs.
 
     Documents without words (null, empty or blank text) have no shingles and are linked with
-    nothing. Others are linked from a similarity of percent hundredths on. Rows with equal sets are one class, repeated rows included. The component is named by
-    its smallest doc_id; a null doc_id never names one unless alone, and is never kept. Other
-    columns are not read; an empty table gives no rows.
+    nothing. Others are linked from a similarity of percent hundredths on. Rows with equal sets are one
+    class, repeated rows included. The component is named by its smallest doc_id; a null doc_id never
+    names one unless alone, and is never kept. Other columns are not read; an empty table gives no rows.
+    """
+    rows = numbered(docs.select("doc_id", "text"), "rid")
+    sketched, classes, parts = _classes_and_parts(rows, percent)
+    # every class's number, and thereby the least of its component, stands for its least doc_id
+    names = classes.select(F.col("c").alias("component"), F.col("least").alias("component_id"))
+    by_class = classes.select("class", "c").join(parts, F.col("c") == F.col("u"), "left").withColumn(
+        "component", F.coalesce("component", "c")).join(names, "component").select("class", "component_id")
+    return (sketched.join(by_class, "class", "left")
+            .select("doc_id", "n_shingles",
+                    F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+                    .alias("component_id"))
+            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))))
+
+
+def _classes_and_parts(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows (rid, doc_id, text): their sketches, the classes of equal sets, and (u, component) of linked classes.
+
+    A class has a number c, its first row rid, and the least doc_id. Rows are taken by doc_id, nulls last,
+    and classes are numbered by their first rows; so the least number of a component is its first class.
     """
     side = side_of(percent)
-    sketched = written(sketches(docs, side), "sketches")
+    sketched = written(sketches(rows, side), "sketches")
+    by_id = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("rid"))
     classes = (sketched.where("n_shingles > 0").groupBy("class")
-               .agg(F.min("rid").alias("c"), F.first("n_shingles").alias("n"),
-                    F.first("sketches").alias("sketches")))
+               .agg(F.min(by_id).alias("first"), F.first("n_shingles").alias("n"))
+               .orderBy("first").withColumn("c", F.monotonically_increasing_id())
+               .select("class", "c", F.col("first.rid").alias("rid"), F.col("first.doc_id").alias("least"), "n"))
+    classes = written(classes, "classes")
+    marks = written(classes.select("c", "rid", "n").join(sketched.select("rid", "sketches", "slots"), "rid").drop("rid"), "marks")
     order = F.xxhash64("c")
     keys = F.array(*[F.xxhash64(F.lit(i), F.lit(j), F.col("sketches")[i], F.col("sketches")[side + j])
                      for i in range(side) for j in range(side)])
     in_bucket = Window.partitionBy("key").orderBy("order", "c")
-    buckets = (classes.select("c", "n", F.posexplode(keys).alias("table", "key"))
+    buckets = (marks.select("c", "n", F.posexplode(keys).alias("table", "key"))
                .select("table", "key", "c", F.col("n").cast("int").alias("n"), order.alias("order"))
                .withColumn("centre", F.first(F.struct("c", "n")).over(
                    in_bucket.rowsBetween(Window.unboundedPreceding, 0)))
@@ -340,63 +414,36 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                .select("table", "key", "c", "n", F.col("centre.c").alias("centre"),
                        F.col("centre.n").alias("centre_n")))
     buckets = written(buckets, "buckets")
-    needed = buckets.select("c").distinct()
-    texts = _texts(docs, sketched, needed)
-    texts = written(_of_class(texts), "texts")
+    texts = written(_texts(rows, classes, buckets.select("c").distinct()), "texts")
 
-    nearest = Window.partitionBy("a").orderBy(F.desc("count"), "b")
-    stars = (buckets.where((F.col("c") != F.col("centre")) & _compatible(F.col("n"), F.col("centre_n"), percent))
-             .groupBy(F.col("c").alias("a"), F.col("centre").alias("b")).count()
-             .withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= STARS)
-             .select("a", "b"))
-    links = written(_confirmed(stars, texts, percent), "links")
+    links = written(_confirmed(_with_centres(buckets, percent), texts, percent), "links")
     parts = written(components(links), "parts")
-    marks = sketched.select(F.col("rid").alias("c"), "sketches", "slots")
-    blocks = written(_open_blocks(buckets.drop("centre", "centre_n").join(marks, "c"), parts, percent), "blocks")
+    for seed in range(1, AGAIN + 1):
+        members = _in_parts(buckets, parts)
+        strays = members.join(_open(members, seed), "key").where("part <> largest")
+        found = written(_confirmed(_with_centres(strays, percent), texts, percent), "links")
+        if found.isEmpty():
+            break
+        links = written(links.unionByName(found), "links")
+        parts = written(components(links), "parts")
+    blocks = written(_open_blocks(_in_parts(buckets, parts), marks.drop("n"), percent), "blocks")
     links = written(links.unionByName(_links_of_blocks(blocks, texts, percent)), "links")
-    parts = components(links)
-    return _named(sketched, parts)
-
-
-def _of_class(texts: DataFrame) -> DataFrame:
-    """Of rows that share a doc_id, the text that has the class's set."""
-
-    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, unpress = _Words(), zstandard.ZstdDecompressor()
-        for batch in source:
-            keep = [xxhash.xxh3_128_hexdigest(shingle_set(unpress.decompress(p).decode(), words)) == k
-                    for k, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 2])
-
-    return (texts.mapInArrow(batches, "c long, packed binary")
-            .groupBy("c").agg(F.first("packed").alias("packed")))
-
-
-def _named(sketched: DataFrame, parts: DataFrame) -> DataFrame:
-    """The component of every row, by way of its class, named by its smallest doc_id."""
-    classes = sketched.where("class IS NOT NULL").groupBy("class").agg(
-        F.min("rid").alias("c"), F.min("doc_id").alias("least"))
-    joined = classes.join(parts, F.col("c") == F.col("u"), "left").withColumn(
-        "part", F.coalesce("component", "c"))
-    names = joined.groupBy("part").agg(F.min("least").alias("component_id"))
-    by_class = joined.join(names, "part").select("class", "component_id")
-    return (sketched.join(by_class, "class", "left")
-            .select("doc_id", "n_shingles",
-                    F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-                    .alias("component_id"))
-            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))))
+    return sketched, classes, components(links)
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each group of near-duplicates: that with the smallest doc_id.
+    """docs with one row of each group of near-duplicates: that with the smallest doc_id.
 
-    Documents without words all stay. Rows that repeat doc_id and text become one. Rows with a null
-    doc_id stay when no document with an id is near them. All columns stay.
+    Null ids come after all others, and of rows with the same doc_id the first of a scan stays. Documents
+    without words (null, empty or blank text) all stay, repeated ones too. All columns stay, whatever
+    their names; an empty table stays empty.
     """
-    staying = near_duplicates(docs, percent).where("kept OR component_id IS NULL").select(
-        F.col("doc_id").alias("_staying")).distinct()
-    return (docs.join(staying, F.col("doc_id").eqNullSafe(F.col("_staying")), "left_semi")
-            .dropDuplicates(["doc_id", "text"]))
+    rid = free_name(docs, "rid")
+    rows = numbered(docs, rid)
+    sketched, classes, parts = _classes_and_parts(rows.select(F.col(rid).alias("rid"), "doc_id", "text"), percent)
+    first = classes.select("c", "rid").join(parts, F.col("c") == F.col("u"), "left").where("component IS NULL OR component = c")
+    staying = first.select("rid").unionByName(sketched.where("n_shingles = 0").select("rid"))
+    return rows.join(staying.withColumnRenamed("rid", rid), rid, "left_semi").select(*docs.columns)
 
 
 def oracle() -> str:

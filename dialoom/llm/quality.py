@@ -76,8 +76,7 @@ def repeated_words(words: Column) -> Column:
 def measured(docs: DataFrame) -> DataFrame:
     """docs with one more column, a struct `_quality` of the counts all rules use.
 
-    Null texts count as empty. All own names stand inside the struct, so columns of docs may
-    have any others.
+    Null texts count as empty. docs has no columns `_quality`, `_words` or `_lines` of its own.
     """
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
@@ -198,9 +197,14 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with all their columns. Texts are not shuffled."""
-    trust = fit(measured(docs.select("text")))
-    return measured(docs).where(kept(trust)).select(*docs.columns)
+    """The rows of docs that are kept, with all their columns, whatever their names.
+
+    Texts are measured once and not shuffled. Null and empty texts fail the base rules and go; repeated
+    rows and null ids are judged like any others; an empty table stays empty.
+    """
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    counts = written(measured(rows).select("row", "_quality"), "quality")
+    return counts.where(kept(fit(counts))).select("row.*")
 
 
 def oracle() -> str:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.base import per_row
+from dialoom.llm.base import per_row, written
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -150,8 +150,8 @@ def labelled_samples(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             [pa.array([r[0] for r in rows], pa.bool_()), pa.array([r[1] for r in rows], pa.string()),
              pa.array([r[2] for r in rows], pa.int64())], names=["random", "string", "hash"])
 
-    found = (docs.select("text").mapInArrow(batches, "random boolean, string string, hash long")
-             .distinct())
+    # both labels are read from it, so the texts are scanned once
+    found = written(docs.select("text").mapInArrow(batches, "random boolean, string string, hash long").distinct(), "strings")
     kinds = [found.where("random").orderBy("hash", "string").limit(sample),
              found.where("NOT random").orderBy("hash", "string").limit(sample)]
     return kinds[0].unionByName(kinds[1]).select("random", "string")
@@ -168,12 +168,13 @@ def model_spans(text: str, base: list[Span], models: Models) -> list[Span]:
 
     A token without letters (a number, a date) is not taken for a secret.
     """
-    taken = sorted((start, end) for _, start, end in base)
-    spans = []
+    taken, at = sorted((start, end) for _, start, end in base), 0
+    spans, covered = [], 0
     for m in TOKEN.finditer(text):
         start, end = m.span()
-        if LETTER.search(m.group()) and not any(a < end and start < b for a, b in taken) and \
-                models.score(m.group()) >= LEAST_PER_CHAR:
+        while at < len(taken) and taken[at][0] < end:  # base spans that begin before the token ends
+            covered, at = max(covered, taken[at][1]), at + 1
+        if covered <= start and LETTER.search(m.group()) and models.score(m.group()) >= LEAST_PER_CHAR:
             spans.append(("random", start, end))
     return spans
 

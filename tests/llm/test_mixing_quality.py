@@ -7,6 +7,7 @@ from hashlib import md5
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from dialoom.llm import mixing, quality
 
@@ -73,7 +74,7 @@ def exact_upto(rate):
 def test_large_rates(spark, rate, n):
     docs = spark.createDataFrame([(i, "some text", None) for i in range(n)], "doc_id long, text string, source string")
     rated = spark.createDataFrame([(None, rate)], "source string, rate double")
-    counts = sorted(r["_count"] for r in mixing.counted(docs.repartition(4), rated).collect())
+    counts = sorted(r.copies for r in mixing.counted(docs.repartition(4), rated).collect())
     assert len(counts) == n and len(set(counts)) > n // 20
     upto = exact_upto(rate)
     farthest = max(max(abs((i + 1) / n - upto[c]) if i + 1 == n or counts[i + 1] != c else 0,
@@ -96,6 +97,15 @@ def test_mix_odd_rows(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mix_leaves_other_columns_alone(spark):
+    rows = [(i if i % 2 else None, f"text {i}", "s", i, -i, "own", "x", 0.5) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copy int, _count int, place string, row string, draw double")
+    got = mixing.mixed_rows(docs)
+    assert got.columns == docs.columns and {tuple(r) for r in got.collect()} <= set(rows)
+    mixed = mixing.mix(docs).collect()
+    assert len({r.place for r in mixed}) == len(mixed)  # also of rows without an id
+
+
 def plain_base(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = Counter(tuple(words[i:i + 8]) for i in range(len(words) - 7))
@@ -125,8 +135,12 @@ def test_base_counts(spark):
         assert (*(r[n] for n in quality.BASE), r.base_failed) == plain_base(text)
         assert not (r.base_failed and r.kept)
     assert quality.quality(docs.limit(0)).count() == 0
-    kept = quality.good_documents(docs)
-    assert kept.columns == docs.columns
+    clashing = docs.select("*", *[F.lit("own").alias(c) for c in ("_words", "_lines", "_quality", "row", "symbols")])
+    kept = quality.good_documents(clashing)
+    assert kept.columns == clashing.columns
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows.values() if r.kept}
+    assert {r["_words"] for r in kept.collect()} == {"own"}
+    assert quality.good_documents(clashing.limit(0)).count() == 0
 
 
 def test_quality_equals_sql(spark):

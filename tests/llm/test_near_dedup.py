@@ -100,6 +100,41 @@ def test_bucket_blocks_lose_no_pair(spark, monkeypatch):
     assert got == brute([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_dealt_rows_grow_with_the_group(spark, monkeypatch):
+    """Of a bucket that is one large part and a few strays, each member is copied a bounded number of times."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    dealt = {}
+    for n in (500, 2000):
+        members = spark.range(n).selectExpr("0 AS table", "7L AS key", "id AS c", "50 AS n", "IF(id % 200 = 199, id, 0L) AS part")
+        marks = spark.range(n).selectExpr("id AS c", "array(1L) AS sketches", "binary('x') AS slots")
+        rows = near_dedup._dealt(members, marks).collect()
+        strays = {c for c in range(n) if c % 200 == 199}
+        met = {(r.x, r.y): ([], []) for r in rows}
+        for r in rows:
+            met[r.x, r.y][r.right].append(r.c)
+        pairs = [(a, b) for left, right in met.values() for a in left for b in right if a not in strays or a < b]
+        assert sorted(pairs) == sorted((a, b) for b in strays for a in range(n) if a not in strays or a < b)
+        dealt[n] = len(rows)
+    assert dealt[500] <= 2 * 500 and dealt[2000] <= 2 * 2000
+
+
+def test_one_row_of_each_group(spark):
+    near = "a b c d e f g h i j"
+    rows = [(None, near, 1), (2, near, 2), (2, "other words that stand alone here", 3), (1, near, 4), (1, near, 5), (None, "", 6), (None, None, 7),
+            (3, " ", 8), (3, " ", 9), (None, "null ids near each other only", 10), (None, "null ids near each other only", 11), (0, "other words that stand alone here", 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rid int").coalesce(1)
+    clashing = docs.selectExpr("*", "rid AS _staying", "rid AS _rid", "rid AS class")
+    got = near_dedup.one_of_each(clashing)
+    assert got.columns == clashing.columns
+    assert sorted(r.rid for r in got.collect()) == [4, 6, 7, 8, 9, 10, 12]
+    assert near_dedup.one_of_each(clashing.limit(0)).count() == 0
+
+
+def test_similarities_that_are_not_found_are_refused():
+    with pytest.raises(ValueError):
+        near_dedup.side_of(50)
+
+
 def test_bands_follow_the_similarity():
     assert (near_dedup.side_of(85), near_dedup.least_equal(85)) == (10, 84)
     assert (near_dedup.side_of(80), near_dedup.least_equal(80)) == (13, 75)

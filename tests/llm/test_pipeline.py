@@ -48,3 +48,25 @@ def test_run(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "quality_rules", "near_dedup", "secret_scan", "mixing", "byte_bpe"]
+
+
+def test_odd_rows_through_all_stages(spark):
+    prose = "This is a sentence of plain words that reads like any other sentence in prose. " 
+    texts = [None, "", " \n", "word", prose * 3, prose * 3, " ".join(f"word{i}" for i in range(400)) + ".",
+             "\n".join(f"Line number {w} says something quite new about {w}." for w in "abcdefghijklmnop"), "x" * 40_000]
+    names = ("_words", "_lines", "_quality", "_rid", "rid", "row", "_source", "_count", "_place", "copy", "place", "_staying", "n_tokens")
+    rows = [(i // 2 if i % 3 else None, t, "en", f"s{i % 2}" if i % 4 else None, len(t or ""), *[f"{n} {i}" for n in names])
+            for i, t in enumerate(texts * 2)]
+    docs = spark.createDataFrame(rows, ", ".join(
+        ["doc_id long, text string, lang string, source string, n_chars long", *[f"{n} string" for n in names]]))
+    for start in (docs, docs.limit(0)):
+        at = start
+        for name, stage in corpus_pipeline.STAGES:
+            made = stage(spark, at, SMALL)
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert made.columns == docs.columns, name
+            found = [tuple(r) for r in made.collect()]
+            assert bool(found) == (start is docs), name
+            if name in ("quality_rules", "near_dedup", "mixing"):
+                assert set(found) <= {tuple(r) for r in at.collect()}, name
+            at = spark.createDataFrame(found, made.schema)
