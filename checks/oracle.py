@@ -272,6 +272,28 @@ def summary_steps(p: str = "") -> list:
          "AND l.doc_id = b.doc_id AND l.rank <= b.n")])
 
 
+def dense_steps() -> list:
+    """Summaries of labels from given vectors; the sums of leading vectors are taken place by place."""
+    return [
+        ("dsents", "SELECT 'labels' AS corpus, label::BIGINT AS doc_id, vec_id AS pos, embedding::DOUBLE[] AS v, d.text AS sentence, "
+         "row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS node, count(*) OVER (PARTITION BY label) AS n "
+         "FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id WHERE label IS NOT NULL"),
+        ("dgraph", "SELECT a.corpus, a.doc_id, a.node AS src, b.node AS dst, list_cosine_similarity(a.v, b.v) AS w FROM dsents a "
+         "JOIN dsents b ON a.doc_id = b.doc_id AND a.node < b.node WHERE round(list_cosine_similarity(a.v, b.v), 9) >= 0.3"),
+        ("dnodes", "SELECT corpus, doc_id, node, n FROM dsents"),
+        *rank_steps("d_", "dnodes", "dgraph"),
+        ("dvalued", f"SELECT s.doc_id, s.pos, s.v, r.rank * coalesce({length_weight('s.sentence')}, 1.0) AS score "
+         "FROM dsents s JOIN d_ranks r USING (corpus, doc_id, node)"),
+        ("dordered", "SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, pos) AS place FROM dvalued"),
+        ("dsizes", "SELECT DISTINCT doc_id, n FROM dvalued, unnest(range(4, 19)) AS g(n)"),
+        ("dplaces", "SELECT doc_id, place, at, v[at] AS x FROM dordered, unnest(range(1, len(v) + 1)) AS g(at)"),
+        ("dwhole", "SELECT doc_id, at, avg(x) AS d FROM dplaces GROUP BY ALL"),
+        ("dmean", "SELECT z.doc_id, z.n, p.at, avg(p.x) AS m FROM dsizes z JOIN dplaces p ON z.doc_id = p.doc_id AND p.place <= z.n GROUP BY ALL"),
+        ("dbest", "SELECT doc_id, n FROM (SELECT m.doc_id, m.n, sum(m * d) / sqrt(sum(m * m) * sum(d * d)) AS sim "
+         "FROM dmean m JOIN dwhole w ON w.doc_id = m.doc_id AND w.at = m.at GROUP BY m.doc_id, m.n) "
+         "QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round((1 - sim) * (1 - sim) + 0.001 * n, 9), n) = 1")]
+
+
 def doc_vector_steps(p: str = "") -> list:
     return token_steps(p) + [
         (f"{p}dterm", f"SELECT corpus, doc_id, unnest(tokens) AS term FROM {p}toks"),
@@ -539,6 +561,8 @@ def oracle_sql() -> dict[str, str]:
         "summary_candidates": sql(summ, "SELECT corpus, doc_id, n, round(sim, 6) AS similarity FROM cand"),
         "summary_length": sql(summ, "SELECT corpus, doc_id, n, round(loss, 6) AS loss FROM best"),
         "summaries": sql(summ, "SELECT corpus, doc_id, ord, pos, sentence, round(score, 6) AS score FROM summaries"),
+        "summaries_dense": sql(dense_steps(), "SELECT o.doc_id, row_number() OVER (PARTITION BY o.doc_id ORDER BY o.pos) AS ord, o.pos, "
+                               "round(o.score, 6) AS score FROM dordered o JOIN dbest b ON b.doc_id = o.doc_id AND o.place <= b.n"),
         # similarity
         "doc_vectors": sql(DOCS + doc_vector_steps(), "SELECT corpus, doc_id, term, round(u, 6) AS u FROM dv"),
         "pairwise_cosine": sql(vecs, "SELECT corpus, doc_id, src, dst, round(w, 6) AS w FROM sg WHERE round(w, 9) >= 0.6"),

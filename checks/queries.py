@@ -24,7 +24,7 @@ from dialoom.operators.centrality import rank_rows
 from dialoom.params import KeyphraseParams, NameParams, RankParams, ShowParams
 from dialoom.plans import results as rs
 from dialoom.plans.keyphrases import keyphrases
-from dialoom.plans.summaries import sentence_ranks, summaries, summary_length_choice
+from dialoom.plans.summaries import dense_summaries, sentence_ranks, summaries, summary_length_choice
 from dialoom.session import cut_lineage, ensure_checkpoint_dir
 from dialoom.sources import tables as tb
 
@@ -203,6 +203,14 @@ def lengths(spark, sf) -> DataFrame:
     return summary_length_choice(d, sentence_ranks(d, ranking=ROUNDS))
 
 
+def dense(spark, sf) -> DataFrame:
+    """Vectors as sentences of their label, with the text of the document that has their number."""
+    v = table(spark, sf, "embeddings").where("label IS NOT NULL").select(
+        F.lit("labels").alias("corpus"), F.col("label").cast("bigint").alias("doc_id"), F.col("vec_id").alias("pos"), F.col("embedding").alias("v"))
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), F.col("text").alias("sentence"))
+    return dense_summaries(v.drop("v").join(texts, "pos", "left"), v, ranking=ROUNDS)
+
+
 def spoken(spark, sf) -> DataFrame:
     told = F.concat(F.initcap("role"), F.lit(" ("), "turn", F.lit("): "), "text")
     return table(spark, sf, "conversations").select("conv_id", "turn", told.alias("line")).select(
@@ -320,6 +328,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "summary_candidates": lambda s, d: out(candidates(s, d), similarity=6),
         "summary_length": lambda s, d: out(lengths(s, d), loss=6),
         "summaries": lambda s, d: out(summaries(docs(s, d), ranking=ROUNDS), score=6),
+        "summaries_dense": lambda s, d: out(dense(s, d), "doc_id", "ord", "pos", "score", score=6),
         "doc_vectors": lambda s, d: out(sm.doc_vectors(sm.content_words(docs(s, d))), *DOC, "term", "u", u=6),
         "similar_docs": lambda s, d: out(sm.similar_documents(docs(s, d)), sim=6),
         "similar_embeddings": lambda s, d: out(sm.similar_vectors(table(s, d, "embeddings").select(

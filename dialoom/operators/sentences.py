@@ -80,6 +80,10 @@ def ranked_sentences(sentences: DataFrame, ranks: DataFrame, p: SummaryParams) -
     scored = sentences.join(ranks.withColumnRenamed("node", "pos"), list(SENT)).select(
         *SENT, "sentence", (F.col("rank") * tx.sentence_length_weight(
             F.col("sentence"), p.length_threshold)).alias("score"))
+    return in_order_of_score(scored)
+
+
+def in_order_of_score(scored: DataFrame) -> DataFrame:
     order = Window.partitionBy(*DOC).orderBy(settle(F.col("score")).desc(), "pos")
     return scored.withColumn("rank", F.row_number().over(order))
 
