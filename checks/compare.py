@@ -31,7 +31,7 @@ def difference(spark, con, sf: str, name: str) -> str | None:
     """None when both sides give the same rows; otherwise what differs."""
     frame = queries()[name](spark, sf)
     cols = sorted(frame.columns)
-    got = sorted(key(r) for r in frame.select(*cols).toPandas().itertuples(index=False, name=None))
+    got = sorted(key(r) for r in frame.select(*cols).collect())
     statement = oracle_sql().get(name)
     if statement is None:
         return None if got else "no rows"

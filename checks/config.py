@@ -18,3 +18,5 @@ MIN_RATIO = 80
 EDIT_RATIO = 60
 RANK_ROUNDS = 30
 TOP_NAMES = 20
+# Of two shows their own characters, removed names, decay and length of lists; the third takes the common values.
+SETTINGS = (("show 0", 6, ["", "OF"], False, 4), ("show 2", None, [], None, 12))

@@ -11,7 +11,7 @@ import re
 from dialoom.functions import wordlists as wl
 from dialoom.operators.pages import ENTITIES
 from checks.config import (ALIAS_ROWS, EDIT_RATIO, LINK_EXCLUDED, MIN_RATIO, PHRASE_PREFIX,
-                           RANK_ROUNDS, TOP_NAMES)
+                           RANK_ROUNDS, SETTINGS, TOP_NAMES)
 
 BLANK = r"\s\x0B\x85\p{Z}"
 WORD = r"\p{L}\p{N}_"
@@ -136,7 +136,15 @@ def term_steps(p: str = "") -> list:
             (f"{p}counts", f"SELECT corpus, count(*) AS n_docs FROM {p}docs GROUP BY corpus")]
 
 
-def score_steps(p: str = "", title: bool = False, source: str = "terms") -> list:
+def by_show(column: str, values: dict, usual: str) -> str:
+    """A value per show, else the usual one."""
+    arms = " ".join(f"WHEN {q(show)} THEN {value}" for show, value in values.items())
+    return f"CASE {column} {arms} ELSE {usual} END" if arms else usual
+
+
+def score_steps(p: str = "", title: bool = False, source: str = "terms", settings=()) -> list:
+    decayed = "ln(n + 1.0::DOUBLE)"
+    length = by_show("corpus", {s[0]: "n::DOUBLE" for s in settings if s[3] is False}, decayed)
     boost, join = "1.0", ""
     steps = []
     if title:
@@ -154,7 +162,7 @@ def score_steps(p: str = "", title: bool = False, source: str = "terms") -> list
          f"ELSE ln(n_docs::DOUBLE) END) AS idf FROM {p}terms t LEFT JOIN {p}freq f USING (corpus, term) "
          f"JOIN {p}counts USING (corpus) GROUP BY t.corpus, t.term"),
         (f"{p}scored", f"SELECT corpus, doc_id, term, n, size, tf, first_pos, tf * idf AS tfidf, "
-         f"tf * idf * ln(500 + 5000.0::DOUBLE / first_pos) * ln(n + 1.0::DOUBLE) * {boost} AS score "
+         f"tf * idf * ln(500 + 5000.0::DOUBLE / first_pos) * {length} * {boost} AS score "
          f"FROM {p}{source} JOIN {p}idf USING (corpus, term) {join}"),
         (f"{p}top", "SELECT *, row_number() OVER (PARTITION BY corpus, doc_id ORDER BY round(score, 9) DESC, "
          f"n, first_pos, term) AS rank FROM {p}scored QUALIFY rank <= 50")]
@@ -203,8 +211,8 @@ def rank_steps(p: str, nodes: str, graph: str, keys=("corpus", "doc_id")) -> lis
         (f"{p}ranks", f"SELECT {k}, node, rank FROM {p}walk{RANK_ROUNDS}")]
 
 
-def keyphrase_steps(p: str = "", title: bool = False) -> list:
-    steps = (token_steps(p, title) + gram_steps(p) + term_steps(p) + score_steps(p, title) + edge_steps(p)
+def keyphrase_steps(p: str = "", title: bool = False, settings=()) -> list:
+    steps = (token_steps(p, title) + gram_steps(p) + term_steps(p) + score_steps(p, title, settings=settings) + edge_steps(p)
              + [(f"{p}nodes", f"SELECT corpus, doc_id, rank AS node, count(*) OVER (PARTITION BY corpus, doc_id) AS n "
                  f"FROM {p}top")])
     return steps + rank_steps(f"{p}k_", f"{p}nodes", f"{p}graph") + [
@@ -306,18 +314,18 @@ def doc_vector_steps(p: str = "") -> list:
         (f"{p}dv", f"SELECT corpus, doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY corpus, doc_id)) AS u FROM {p}dw")]
 
 
-def similar_steps(p: str = "") -> list:
+def similar_steps(p: str = "", k: int = 10) -> list:
     return doc_vector_steps(p) + [
         (f"{p}dsim", f"SELECT a.corpus, a.doc_id, b.doc_id AS other, sum(a.u * b.u) AS sim FROM {p}dv a JOIN {p}dv b "
          "ON a.corpus = b.corpus AND a.term = b.term AND a.doc_id <> b.doc_id GROUP BY ALL"),
         (f"{p}low", f"SELECT corpus, doc_id AS other FROM {p}docs QUALIFY row_number() OVER "
-         "(PARTITION BY corpus ORDER BY doc_id) <= 21"),
+         f"(PARTITION BY corpus ORDER BY doc_id) <= {2 * k + 1}"),
         (f"{p}unlike", f"SELECT d.corpus, d.doc_id, l.other, 0.0::DOUBLE AS sim FROM {p}docs d JOIN {p}low l "
          f"ON d.corpus = l.corpus AND d.doc_id <> l.other WHERE NOT EXISTS (SELECT 1 FROM {p}dsim s "
          "WHERE s.corpus = d.corpus AND s.doc_id = d.doc_id AND s.other = l.other)"),
         (f"{p}near", "SELECT corpus, doc_id, other, sim, row_number() OVER (PARTITION BY corpus, doc_id "
          f"ORDER BY round(sim, 9) DESC, other) AS rank FROM (SELECT * FROM {p}dsim UNION ALL SELECT * FROM {p}unlike) "
-         "QUALIFY rank <= 10")]
+         f"QUALIFY rank <= {k}")]
 
 
 # the sharp s has a two-letter capital in Java, as in Python
@@ -373,13 +381,15 @@ def punct(x: str) -> str:
     return f"CASE WHEN regexp_matches({x}, '[.|?!…]$') THEN {x} ELSE {x} || '.' END"
 
 
-def doc_steps(lines: str = "lines") -> list:
+def doc_steps(lines: str = "lines", settings=()) -> list:
+    most = by_show("show", {s[0]: s[1] for s in settings if s[1] is not None}, str(TOP_NAMES))
+    removed = by_show("show", {s[0]: f"[{', '.join(map(q, s[2]))}]::VARCHAR[]" for s in settings if s[2] is not None}, "['', 'MAN']")
     return [
         ("ep_docs", f"SELECT show, episode, string_agg({punct('line')}, ' ' ORDER BY line_no) AS text, "
          f"min(line_no) AS first FROM {lines} GROUP BY show, episode"),
         ("speakers", f"SELECT show, character_name, count(*) AS n_lines, min(line_no) AS first_line, row_number() OVER "
          f"(PARTITION BY show ORDER BY count(*) DESC, min(line_no)) AS rank FROM {lines} "
-         f"WHERE character_name NOT IN ('', 'MAN') GROUP BY show, character_name QUALIFY rank <= {TOP_NAMES}"),
+         f"WHERE NOT list_contains({removed}, character_name) GROUP BY show, character_name QUALIFY rank <= {most}"),
         ("char_docs", f"SELECT l.show, l.character_name, string_agg({punct('line')}, ' ' ORDER BY line_no) AS text, "
          f"min(line_no) AS first FROM {lines} l JOIN speakers s USING (show, character_name) GROUP BY ALL"),
         ("seasons", f"SELECT show, season_key, episode, min(line_no) AS first_line FROM (SELECT show, 'All' AS season_key, "
@@ -436,7 +446,9 @@ def sql(steps: list, final: str) -> str:
     return quoted_names(("WITH " + ",\n".join(parts) + "\n" if parts else "") + final)
 
 
-def result_steps() -> list:
+def result_steps(settings=()) -> list:
+    longest = max([10, *[s[4] for s in settings if s[4]]])
+    most = by_show("k.corpus", {s[0]: s[4] for s in settings if s[4] is not None}, "10")
     ep = [("e_docs", "SELECT show AS corpus, first AS doc_id, episode AS title, text FROM ep_docs")]
     ch = [("c_docs", "SELECT show AS corpus, first AS doc_id, character_name AS title, text FROM char_docs")]
     summ = [("e_sum", "SELECT s.corpus AS show, d.title AS episode, s.ord, s.pos, s.sentence, s.score FROM e_summaries s "
@@ -451,13 +463,13 @@ def result_steps() -> list:
                                 frame=f"{p}_keyphrases", docs=docs))
         arms.append(rows.format(p="k", kind=near, rank="k.rank", item="o.title", score="k.sim",
                                 frame=f"{p}b_near", docs=docs)
-                    + f" JOIN {docs} o ON k.corpus = o.corpus AND k.other = o.doc_id")
+                    + f" JOIN {docs} o ON k.corpus = o.corpus AND k.other = o.doc_id WHERE k.rank <= {most}")
     arms.append("SELECT s.show, 'episode_text_summarization', s.episode, s.ord::INTEGER, l.label, s.score "
                 "FROM e_sum s JOIN labelled l USING (show, episode, pos)")
-    return (NAMED + doc_steps("resolved") + ep + ch
+    return (NAMED + doc_steps("resolved", settings) + ep + ch
             + [("eb_docs", "SELECT * FROM e_docs"), ("cb_docs", "SELECT * FROM c_docs")]
-            + keyphrase_steps("e_", True) + keyphrase_steps("c_")
-            + similar_steps("eb_") + similar_steps("cb_") + summary_steps("e_") + summ
+            + keyphrase_steps("e_", True, settings) + keyphrase_steps("c_", settings=settings)
+            + similar_steps("eb_", longest) + similar_steps("cb_", longest) + summary_steps("e_") + summ
             + label_steps("e_sum", "resolved") + [("results", " UNION ALL ".join(arms))])
 
 
@@ -576,6 +588,7 @@ def oracle_sql() -> dict[str, str]:
         "speaker_labels": sql(NAMED + _turn_summary() + label_steps("ts", "resolved"), "SELECT show, episode, pos, label FROM labelled"),
         # results
         "all_results": sql(res, "SELECT show, kind, entity, rank::BIGINT AS rank, item, round(score, 6) AS score FROM results"),
+        "all_results_by_show": sql(result_steps(SETTINGS), "SELECT show, kind, entity, rank::BIGINT AS rank, item, round(score, 6) AS score FROM results"),
         "result_lookup": sql(res, "SELECT show, entity, rank::BIGINT AS rank, item, round(score, 6) AS score FROM results WHERE kind = 'episode_text_similarity'"),
         "result_shows": sql(seasons, "SELECT DISTINCT show FROM results"),
         "result_entities": sql(seasons, "SELECT DISTINCT entity FROM results WHERE show = 'show 1' AND kind = 'seasons'"),

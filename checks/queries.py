@@ -127,9 +127,13 @@ def turn_sentences(spark, sf) -> DataFrame:
         "show", "episode", (F.col("line_no") * 1000 + F.col("at")).alias("pos"), "sentence")
 
 
-def all_results(spark, sf, kinds=rs.KINDS) -> DataFrame:
+def all_results(spark, sf, kinds=rs.KINDS, settings=None) -> DataFrame:
     return rs.build_results(lines(spark, sf), aliases(spark), ShowParams(num_characters=config.TOP_NAMES),
-                            naming=NAMES, ranking=ROUNDS, kinds=kinds)
+                            naming=NAMES, ranking=ROUNDS, kinds=kinds, settings=settings)
+
+
+def show_settings(spark) -> DataFrame:
+    return spark.createDataFrame(list(config.SETTINGS), rs.SETTINGS)
 
 
 def stored_results(spark, sf) -> str:
@@ -338,6 +342,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "speaker_labels": lambda s, d: sp.speaker_labels(turn_sentences(s, d), resolved(s, d)).select(
             "show", "episode", "pos", "label"),
         "all_results": lambda s, d: out(all_results(s, d), score=6),
+        "all_results_by_show": lambda s, d: out(all_results(s, d, settings=show_settings(s)), score=6),
         "result_lookup": lambda s, d: out(lookup(s, d), "show", "entity", "rank", "item", "score", score=6),
         "result_shows": lambda s, d: rs.shows(season_results(s, d)),
         "result_entities": lambda s, d: rs.entities(season_results(s, d), "show 1", "seasons"),

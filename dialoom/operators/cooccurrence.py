@@ -104,10 +104,10 @@ def scored_edges(edges: DataFrame, top: DataFrame) -> DataFrame:
 
 
 def keyphrase_edges(docs: DataFrame, params: KeyphraseParams = KeyphraseParams(),
-                    top: DataFrame | None = None) -> DataFrame:
+                    top: DataFrame | None = None, tokens: DataFrame | None = None) -> DataFrame:
     """(corpus, doc_id, src, dst, src_term, dst_term, w) of every document's phrase graph."""
-    top = cut_lineage(keyphrase_candidates(docs, params)) if top is None else top
-    positions = phrase_positions(tokenized(docs, params), top, params)
+    top = cut_lineage(keyphrase_candidates(docs, params, tokens=tokens)) if top is None else top
+    positions = phrase_positions(tokenized(docs, params) if tokens is None else tokens, top, params)
     return scored_edges(cooccurrence_edges(positions, top_lists(top), params), top)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialoom.functions import text as tx
@@ -53,11 +53,23 @@ def season_index(lines: DataFrame) -> DataFrame:
     return keyed.groupBy("show", "season_key", "episode").agg(F.min("first_line").alias("first_line"))
 
 
-def top_speakers(lines: DataFrame, n: int = 50, removed: Sequence[str] = ("", "MAN")) -> DataFrame:
-    """(show, character_name, n_lines, first_line, rank): most lines first, then first seen."""
-    counted = (lines.where(~F.col("character_name").isin(*removed)).groupBy("show", "character_name")
-               .agg(F.count("*").alias("n_lines"), F.min("line_no").alias("first_line")))
-    return top_k(counted, ["show"], [F.col("n_lines").desc(), F.col("first_line")], n)
+def top_speakers(lines: DataFrame, n: int = 50, removed: Sequence[str] = ("", "MAN"),
+                 settings: DataFrame | None = None) -> DataFrame:
+    """(show, character_name, n_lines, first_line, rank): most lines first, then first seen.
+
+    settings (show, num_characters, remove_names) has what single shows want otherwise; a show that is not
+    there, or a null, takes n and removed.
+    """
+    counted = lines.groupBy("show", "character_name").agg(
+        F.count("*").alias("n_lines"), F.min("line_no").alias("first_line"))
+    order = [F.col("n_lines").desc(), F.col("first_line")]
+    if settings is None:
+        return top_k(counted.where(~F.col("character_name").isin(*removed)), ["show"], order, n)
+    usual = F.array(*[F.lit(name) for name in removed]).cast("array<string>")
+    own = join_dimension(counted, settings.select("show", "num_characters", "remove_names"), ["show"], "left").where(
+        ~F.array_contains(F.coalesce("remove_names", usual), F.col("character_name")))
+    ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy("show").orderBy(*order)))
+    return ranked.where(F.col("rank") <= F.coalesce("num_characters", F.lit(n))).drop("num_characters", "remove_names")
 
 
 def leading_lines(lines: DataFrame, speakers: DataFrame) -> DataFrame:
@@ -65,8 +77,8 @@ def leading_lines(lines: DataFrame, speakers: DataFrame) -> DataFrame:
                           ["show", "character_name"], "left_semi")
 
 
-def character_documents(lines: DataFrame, n: int = 50,
-                        removed: Sequence[str] = ("", "MAN")) -> DataFrame:
+def character_documents(lines: DataFrame, n: int = 50, removed: Sequence[str] = ("", "MAN"),
+                        settings: DataFrame | None = None) -> DataFrame:
     """(show, character_name, text, first) for the leading speakers of each show."""
-    leading = leading_lines(lines, top_speakers(lines, n, removed))
+    leading = leading_lines(lines, top_speakers(lines, n, removed, settings))
     return ordered_join(leading, ["show", "character_name"], "line_no", tx.punctuate(F.col("line")))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from dialoom.functions import text as tx
 from dialoom.operators.common import join_dimension, parallel, settle, spread_by, top_k
 from dialoom.params import KeyphraseParams
+from dialoom.session import cut_lineage
 
 DOC = ("corpus", "doc_id")
 
@@ -117,8 +118,12 @@ def term_table(occ: DataFrame, params: KeyphraseParams = KeyphraseParams()) -> D
         *(["in_title", "title_len"] if extra else []))
 
 
-def corpus_sizes(docs: DataFrame) -> DataFrame:
-    return docs.groupBy("corpus").agg(F.count("*").alias("n_docs"))
+def corpus_sizes(docs: DataFrame, settings: DataFrame | None = None) -> DataFrame:
+    """(corpus, n_docs), with settings (show, term_len_decay) also `decay`, null where a show has none."""
+    sizes = docs.groupBy("corpus").agg(F.count("*").alias("n_docs"))
+    if settings is None:
+        return sizes
+    return sizes.join(settings.select(F.col("show").alias("corpus"), F.col("term_len_decay").alias("decay")), "corpus", "left")
 
 
 def document_frequency(tokens: DataFrame, params: KeyphraseParams = KeyphraseParams()) -> DataFrame:
@@ -175,17 +180,20 @@ def first_position_factor(pos: Column, cutoff: int = 5000) -> Column:
     return F.ln(F.lit(500.0) + F.lit(float(cutoff)) / pos)
 
 
-def length_factor(n: Column, decay: bool = True) -> Column:
-    return F.ln(n + F.lit(1.0)) if decay else n.cast("double")
+def length_factor(n: Column, decay: bool | Column = True) -> Column:
+    if isinstance(decay, bool):
+        return F.ln(n + F.lit(1.0)) if decay else n.cast("double")
+    return F.when(decay, F.ln(n + F.lit(1.0))).otherwise(n.cast("double"))
 
 
 def title_factor(n: Column, title_len: Column) -> Column:
     return ((n - 1) / title_len) * F.ln(n.cast("double")) + 1
 
 
-def _score(tfidf: Column, params: KeyphraseParams) -> Column:
+def _score(terms: DataFrame, tfidf: Column, params: KeyphraseParams) -> Column:
+    decay = F.coalesce("decay", F.lit(params.term_len_decay)) if "decay" in terms.columns else params.term_len_decay
     score = (tfidf * first_position_factor(F.col("first_pos"), params.position_cutoff)
-             * length_factor(F.col("n"), params.term_len_decay))
+             * length_factor(F.col("n"), decay))
     if params.include_title:
         score = score * F.when(F.col("in_title"), title_factor(F.col("n"), F.col("title_len"))
                                ).otherwise(1.0)
@@ -194,7 +202,7 @@ def _score(tfidf: Column, params: KeyphraseParams) -> Column:
 
 def with_score(terms: DataFrame, params: KeyphraseParams = KeyphraseParams()) -> DataFrame:
     kept = terms.where(F.col("first_pos") <= params.position_cutoff) if params.drop_after_cutoff else terms
-    return kept.withColumn("score", _score(F.col("tfidf"), params))
+    return kept.withColumn("score", _score(terms, F.col("tfidf"), params)).drop("decay")
 
 
 def document_terms(tokens: DataFrame, params: KeyphraseParams = KeyphraseParams()) -> DataFrame:
@@ -222,7 +230,7 @@ def contenders(terms: DataFrame, params: KeyphraseParams = KeyphraseParams()) ->
     below the document's k-th long phrase can never be listed; the same top list
     comes out, and far fewer rows go on to the join with the frequencies.
     """
-    bound = settle(_score(F.col("tf") * F.ln("n_docs"), params))
+    bound = settle(_score(terms, F.col("tf") * F.ln("n_docs"), params))
     doc = Window.partitionBy(*DOC)
     order = [(F.col("n") >= 3).desc(), F.col("bound").desc(), "n", "first_pos", "term"]
     last = F.max(F.when((F.col("place") == params.take_top) & (F.col("n") >= 3), F.col("bound")))
@@ -235,9 +243,16 @@ def contenders(terms: DataFrame, params: KeyphraseParams = KeyphraseParams()) ->
             .drop("bound", "place", "last"))
 
 
-def keyphrase_candidates(docs: DataFrame, params: KeyphraseParams = KeyphraseParams()) -> DataFrame:
-    """Each document's top terms by statistical score, with their rank."""
-    tokens = tokenized(docs, params)
-    terms = join_dimension(document_terms(tokens, params), corpus_sizes(docs), ["corpus"])
+def keyphrase_candidates(docs: DataFrame, params: KeyphraseParams = KeyphraseParams(),
+                         settings: DataFrame | None = None, tokens: DataFrame | None = None) -> DataFrame:
+    """Each document's top terms by statistical score, with their rank.
+
+    settings (show, term_len_decay) has what single corpora want otherwise; tokens are those of
+    tokenized(), where they are kept already.
+    """
+    tokens = tokenized(docs, params) if tokens is None else tokens
+    # a row per corpus, written so that its size is known when the join with all terms is planned
+    sizes = cut_lineage(corpus_sizes(docs, settings))
+    terms = join_dimension(document_terms(tokens, params), sizes, ["corpus"])
     weighted = with_tfidf(contenders(terms, params), document_frequency(tokens, params), None)
     return top_terms(with_score(weighted, params), params)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from dialoom.functions import graphs
+from dialoom.operators import common
 from dialoom.operators import dense as dn
 from dialoom.params import RankParams, SummaryParams
 from dialoom.plans.summaries import dense_summaries
@@ -19,9 +20,9 @@ def unit(v):
 
 
 def test_numbers_follow_the_order(spark, monkeypatch):
-    monkeypatch.setattr(dn, "NUMBERED", 5)
+    monkeypatch.setattr(common, "NUMBERED", 5)
     rows = [("a", i * i) for i in range(40)] + [("b", -7 + i) for i in range(12)]
-    got = dn.numbered(spark.createDataFrame(rows, "k string, o long"), ["k"], "o", "nr").collect()
+    got = common.numbered(spark.createDataFrame(rows, "k string, o long"), ["k"], "o", "nr").collect()
     for key in "ab":
         assert [r.nr for r in sorted((r for r in got if r.k == key), key=lambda r: r.o)] == list(range(sum(k == key for k, _ in rows)))
 
@@ -31,7 +32,7 @@ def test_links_above_the_threshold(spark, monkeypatch, block):
     monkeypatch.setattr(dn, "BLOCK_ROWS", block)
     rng = np.random.default_rng(3)
     groups = {1: rng.normal(size=(40, 5)), 2: rng.normal(size=(9, 5)), 3: rng.normal(size=(1, 5))}
-    rows = dn.numbered(frame(spark, groups), ["corpus", "doc_id"], "pos", "node")
+    rows = common.numbered(frame(spark, groups), ["corpus", "doc_id"], "pos", "node")
     got = {(r.doc_id, r.src, r.dst): round(r.w, 9) for r in dn.similar_dense(rows, 0.3).collect()}
     want = {}
     for d, v in groups.items():

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dialoom.functions import graphs
+from dialoom.functions.nearest import Block
 from dialoom.operators import cooccurrence as co
 from dialoom.operators import similar as sm
 from dialoom.operators import terms as tm
@@ -151,3 +152,35 @@ def test_large_graphs_are_ranked_alike(spark, measure):
     whole = ranks(RankParams())
     assert ranks(RankParams(max_group_edges=1)) == pytest.approx(whole)
     assert ranks(RankParams(max_group_nodes=100)) == pytest.approx(whole)
+
+
+@pytest.mark.parametrize("floor", [0.0, 0.2])
+def test_nearest_of_a_block(floor):
+    rng = np.random.default_rng(5)
+    n, size, k = 60, 40, 4
+    whole = rng.random((n, size)) * (rng.random((n, size)) < 0.2)
+    whole[10:14] = whole[9]
+    whole[20] = 0
+    terms = [np.flatnonzero(row) * 3 for row in whole]
+    block = Block(np.arange(n)[::-1] * 7, [t for t in terms[::-1]], [row[row > 0] for row in whole[::-1]])
+    sims = np.round(whole @ whole.T, 9)
+    for i in range(n):
+        ids, found, touched = block.nearest(i * 7, terms[i], whole[i][whole[i] > 0], k, floor)
+        want = sorted((j for j in range(n) if j != i and sims[i, j] > 0), key=lambda j: (-sims[i, j], j))[:k]
+        assert [7 * j for j in want if sims[i, j] >= floor] == ids.tolist()
+        assert np.round(found, 9) == pytest.approx([sims[i, j] for j in want if sims[i, j] >= floor])
+        assert touched <= n - 1
+    assert block.nearest(1, np.array([1, 200]), np.array([1.0, 2.0]), k)[0].size == 0
+
+
+def test_documents_in_several_blocks(spark, monkeypatch):
+    """Small blocks and one block give the same lists, with ties, copies and documents that share nothing."""
+    made = np.random.default_rng(2)
+    texts = [" ".join(made.choice([f"word{chr(97 + i)}{chr(97 + i % 7)}" for i in range(40)], made.integers(1, 12))) for _ in range(60)]
+    docs = spark.createDataFrame([("c" if i % 3 else "d", i, t) for i, t in enumerate([*texts, texts[4], "unique", None, ""])],
+                                 "corpus string, doc_id long, text string")
+    found = []
+    for size in (1024, 7):
+        monkeypatch.setattr(sm, "BLOCK_DOCS", size)
+        found.append(sorted((r.corpus, r.doc_id, r["rank"], r.other, round(r.sim, 9)) for r in sm.similar_documents(docs, 5).collect()))
+    assert found[0] == found[1] and len(found[0]) == 5 * 64

@@ -5,6 +5,9 @@ import pytest
 from dialoom.operators import documents as dc
 from dialoom.operators import names as nm
 from dialoom.operators.speakers import speaker_labels
+from dialoom.operators.terms import keyphrase_candidates
+from dialoom.params import KeyphraseParams
+from dialoom.plans import results as rs
 from dialoom.sources import tables as tb
 
 
@@ -72,3 +75,20 @@ def test_tables_and_schema(spark):
     assert not spark.catalog.tableExists("dialoom_lines")
     with pytest.raises(ValueError):
         tb.check_schema(spark.range(1), tb.LINE_SCHEMA)
+
+
+def test_settings_per_show(spark):
+    rows = [(n, "x", "x", show, "e", 1, "u", i) for i, (show, n) in enumerate(
+        [(s, n) for s in ("a", "b", "c") for n in ["MAN"] * 4 + ["JON"] * 3 + ["NED"] * 2 + ["SAM"]])]
+    lines = spark.createDataFrame(rows, tb.LINE_SCHEMA)
+    settings = spark.createDataFrame([("a", 1, None, None, None), ("b", None, ["JON"], None, None)], rs.SETTINGS)
+    found = {}
+    for r in dc.top_speakers(lines, 2, settings=settings).orderBy("show", "rank").collect():
+        found.setdefault(r.show, []).append(r.character_name)
+    assert found == {"a": ["JON"], "b": ["MAN", "NED"], "c": ["JON", "NED"]}
+    texts = spark.createDataFrame([(c, i, t) for c in "ab" for i, t in enumerate(["red fox runs home", "blue fox sleeps long"])],
+                                  "corpus string, doc_id long, text string")
+    decay = spark.createDataFrame([("b", None, None, False, None)], rs.SETTINGS)
+    plain = {c: keyphrase_candidates(texts, KeyphraseParams(term_len_decay=c == "a")).where(f"corpus = '{c}'") for c in "ab"}
+    got = sorted(map(tuple, keyphrase_candidates(texts, settings=decay).select(*plain["a"].columns).collect()))
+    assert got == sorted(map(tuple, plain["a"].unionByName(plain["b"]).collect()))
