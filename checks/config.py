@@ -20,3 +20,5 @@ RANK_ROUNDS = 30
 TOP_NAMES = 20
 # Of two shows their own characters, removed names, decay and length of lists; the third takes the common values.
 SETTINGS = (("show 0", 6, ["", "OF"], False, 4), ("show 2", None, [], None, 12))
+# Line numbers of a segment: a conversation's lie within 1,000, so this cuts each in pieces of three turns.
+SEGMENT_LENGTH = 3

@@ -381,6 +381,11 @@ def punct(x: str) -> str:
     return f"CASE WHEN regexp_matches({x}, '[.|?!…]$') THEN {x} ELSE {x} || '.' END"
 
 
+#: What is said in a season, as one text.
+SEASONS = [*LINES, ("g_docs", f"SELECT show AS corpus, season::BIGINT AS doc_id, string_agg({punct('line')}, ' ' ORDER BY line_no) AS text "
+                    "FROM lines GROUP BY show, season")]
+
+
 def doc_steps(lines: str = "lines", settings=()) -> list:
     most = by_show("show", {s[0]: s[1] for s in settings if s[1] is not None}, str(TOP_NAMES))
     removed = by_show("show", {s[0]: f"[{', '.join(map(q, s[2]))}]::VARCHAR[]" for s in settings if s[2] is not None}, "['', 'MAN']")
@@ -502,6 +507,14 @@ def oracle_sql() -> dict[str, str]:
         "page_paragraphs": sql(PARAS, "SELECT page_id, unnest(ps) AS paragraph, unnest(range(len(ps))) AS at FROM paras"),
         "page_text": sql(PARAS, "SELECT page_id, text FROM ptext"),
         "script_lines": sql(PARAS, "SELECT page_id, at, line FROM plines"),
+        "page_script_lines": sql(PARAS, f"SELECT {speaker_sql('line')[0]} AS character_name, {speaker_sql('line')[1]} AS line, "
+                                 r"line AS narration, 'pages' AS show, lower(replace(regexp_extract(url, 'example\.(?:com|net|org)/(.*)', 1), '-', ' ')) AS episode, "
+                                 "1::INTEGER AS season, url, page_id * 4294967296 + at AS line_no FROM plines JOIN pages USING (page_id)"),
+        "stored_scan": sql(LINES, "SELECT show, episode, season, line_no FROM lines WHERE show = 'show 1' AND season IN (2, 4)"),
+        "table_roundtrip": sql(LINES, "SELECT character_name, line, replace(replace(narration, '’', chr(39)), chr(9), ' ') AS narration, "
+                               "show, episode, season, url, line_no FROM lines"),
+        "results_on_miss": sql(res, "SELECT show, kind, entity, rank::BIGINT AS rank, item, round(score, 6) AS score FROM results "
+                               "WHERE kind IN ('seasons', 'episode_text_similarity')"),
         "speaker_parse": sql([("l", "SELECT conv_id, turn, concat(upper(role[1]), role[2:], ' (', turn, '): ', text) AS line FROM conversations")],
                              f"SELECT conv_id, turn, {name} AS character_name, {quoted} AS quote FROM l"),
         "url_slug": r"SELECT page_id, lower(replace(regexp_extract(url, 'example\.(?:com|net|org)/(.*)', 1), '-', ' ')) AS slug FROM pages",
@@ -573,6 +586,10 @@ def oracle_sql() -> dict[str, str]:
         "summary_candidates": sql(summ, "SELECT corpus, doc_id, n, round(sim, 6) AS similarity FROM cand"),
         "summary_length": sql(summ, "SELECT corpus, doc_id, n, round(loss, 6) AS loss FROM best"),
         "summaries": sql(summ, "SELECT corpus, doc_id, ord, pos, sentence, round(score, 6) AS score FROM summaries"),
+        "segment_topk": sql(SEASONS + token_steps("g_") + gram_steps("g_") + term_steps("g_") + score_steps("g_"),
+                            "SELECT corpus, doc_id, rank, term, round(score, 6) AS score FROM g_top"),
+        "segment_keyphrases": sql(SEASONS + keyphrase_steps("g_"),
+                                  "SELECT corpus, doc_id, rank, term, round(score, 6) AS score FROM g_keyphrases"),
         "summaries_dense": sql(dense_steps(), "SELECT o.doc_id, row_number() OVER (PARTITION BY o.doc_id ORDER BY o.pos) AS ord, o.pos, "
                                "round(o.score, 6) AS score FROM dordered o JOIN dbest b ON b.doc_id = o.doc_id AND o.place <= b.n"),
         # similarity

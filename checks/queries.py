@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from dialoom.operators import terms as tm
 from dialoom.operators.centrality import rank_rows
 from dialoom.params import KeyphraseParams, NameParams, RankParams, ShowParams
 from dialoom.plans import results as rs
-from dialoom.plans.keyphrases import keyphrases
+from dialoom.plans.keyphrases import keyphrases, segment_keyphrases
 from dialoom.plans.summaries import dense_summaries, sentence_ranks, summaries, summary_length_choice
 from dialoom.session import cut_lineage, ensure_checkpoint_dir
 from dialoom.sources import tables as tb
@@ -100,6 +101,12 @@ def ranked_graph(spark, sf, measure: str = "pagerank") -> DataFrame:
         *DOC, (F.col("node") + 1).alias("node"), "rank")
 
 
+def season_segments(spark, sf) -> DataFrame:
+    """What is said in a season, as one document in short segments."""
+    rows = lines(spark, sf).select(F.col("show").alias("corpus"), F.col("season").cast("bigint").alias("doc_id"), "line_no", "line")
+    return dc.ordered_segments(rows, DOC, "line_no", tx.punctuate(F.col("line")), length=config.SEGMENT_LENGTH)
+
+
 def sents(spark, sf) -> DataFrame:
     return st.distinct_sentences(docs(spark, sf))
 
@@ -143,6 +150,44 @@ def stored_results(spark, sf) -> str:
     return path
 
 
+def completed_results(spark, sf) -> DataFrame:
+    """Half of the entities are stored, then all are asked for and read one show and kind after the other."""
+    kinds = ("seasons", "episode_text_similarity")
+    path, whole = _scratch(spark, "results"), cut_lineage(all_results(spark, sf, kinds))
+    tb.put_results(whole.where(F.xxhash64("entity") % 2 == 0), path)
+    tb.results_or_build(spark, path, whole, lambda missing: whole.join(missing, tb.ENTITY, "left_semi"))
+    parts = [tb.get_results(spark, path, show, kind) for show in config.SHOWS for kind in kinds]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def table_roundtrip(spark, sf) -> DataFrame:
+    """A table made, filled in two steps, read and dropped."""
+    name = f"lines_{uuid.uuid4().hex}"
+    tb.create_table(spark, name)
+    for part in (0, 1):
+        tb.append_table(lines(spark, sf).where(F.col("line_no") % 2 == part), name)
+    rows = cut_lineage(tb.check_schema(spark.table(name), tb.LINE_SCHEMA))
+    tb.drop_table(spark, name)
+    return rows
+
+
+def stored_scan(spark, sf) -> DataFrame:
+    """Lines stored once by the first source that works, then scanned by path with filters."""
+    path = _scratch(spark, "stored-lines")
+
+    def broken() -> DataFrame:
+        raise OSError("no such source")
+
+    tb.first_available(spark, path, broken, lambda: lines(spark, sf))
+    return tb.scan_lines(spark, path, cols=["show", "episode", "season", "line_no"], show="show 1", seasons=[2, 4])
+
+
+def told_lines(spark, sf) -> DataFrame:
+    """Script lines of all pages, with show and season as constants."""
+    pages = table(spark, sf, "pages").select("page_id", "url", "html", F.lit("pages").alias("show"), F.lit(1).alias("season"))
+    return tb.check_schema(pg.script_lines(pages, r"example\.(?:com|net|org)/", ""), tb.LINE_SCHEMA)
+
+
 def _scratch(spark, name: str) -> str:
     """A new path in the folder the driver and all executors share."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -253,6 +298,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             "page_id", F.posexplode(pg.paragraphs(F.col("html"))).alias("at", "paragraph"))),
         "page_text": lambda s, d: table(s, d, "pages").select("page_id", pg.page_text(F.col("html")).alias("text")),
         "script_lines": lambda s, d: out(page_lines(s, d)),
+        "page_script_lines": told_lines,
+        "stored_scan": stored_scan,
+        "table_roundtrip": table_roundtrip,
+        "results_on_miss": lambda s, d: out(completed_results(s, d), score=6),
         "speaker_parse": spoken,
         "url_slug": lambda s, d: table(s, d, "pages").select(
             "page_id", pg.episode_slug(F.col("url"), r"example\.(?:com|net|org)/", "").alias("slug")),
@@ -320,6 +369,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "betweenness": lambda s, d: out(ranked_graph(s, d, "betweenness centrality"), rank=6),
         "load_centrality": lambda s, d: out(ranked_graph(s, d, "load centrality"), rank=6),
         "keyphrases": lambda s, d: out(keyphrases(docs(s, d), ranking=ROUNDS), *DOC, "rank", "term", "score", score=6),
+        "segment_topk": lambda s, d: out(tm.keyphrase_candidates(
+            season_segments(s, d).select(*DOC).distinct(), tokens=tm.segment_tokens(season_segments(s, d))),
+            *DOC, "rank", "term", "score", score=6),
+        "segment_keyphrases": lambda s, d: out(segment_keyphrases(season_segments(s, d), ranking=ROUNDS),
+                                               *DOC, "rank", "term", "score", score=6),
         "sentences": lambda s, d: out(docs(s, d).select(*DOC, F.posexplode(
             tx.sentences(F.col("text"))).alias("at", "sentence"))),
         "sentence_distinct": lambda s, d: out(sents(s, d), *DOC, "pos", "sentence"),

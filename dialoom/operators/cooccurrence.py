@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dialoom.operators.centrality import graph_rows, rank_rows
 from dialoom.operators.common import settle, spread_by, top_k
-from dialoom.operators.terms import DOC, keyphrase_candidates, occurrences, tokenized
+from dialoom.operators.terms import DOC, bare, keyphrase_candidates, occurrences, tokenized
 from dialoom.params import KeyphraseParams, RankParams
 from dialoom.session import cut_lineage
 
@@ -21,13 +21,13 @@ def phrase_positions(tokens: DataFrame, top: DataFrame,
                      params: KeyphraseParams = KeyphraseParams()) -> DataFrame:
     """(corpus, doc_id, rank, term, start, end) for every place a top phrase stands.
 
-    Both sides are spread by document already, so the join moves nothing; the
-    top lists are the small, hashed side.
+    Whole documents are spread by document already, as the top lists are, so the join moves
+    nothing; the lists are the small, hashed side.
     """
     listed = top.select(*DOC, "term", "size", "rank")
     if params.position_mode == "contains":
         return _containing_positions(tokens, listed)
-    found = occurrences(tokens.select(*DOC, "tokens"), params)
+    found = occurrences(bare(tokens), params)
     return (found.join(listed.hint("shuffle_hash"), [*DOC, "term", "size"])
             .select(*DOC, "rank", "term", F.col("pos").alias("start"),
                     (F.col("pos") + F.col("size") - 1).alias("end")))
@@ -38,10 +38,14 @@ def _containing_positions(tokens: DataFrame, listed: DataFrame) -> DataFrame:
     words = listed.select(*DOC, "term", "rank", F.posexplode(F.split("term", "_")).alias("at", "word"),
                           F.size(F.split("term", "_")).alias("length"))
     # distinct tokens of a document against its few listed words
-    seen = (tokens.select(*DOC, F.explode(F.array_distinct("tokens")).alias("token"))
+    if "own" in tokens.columns:
+        tokens = tokens.withColumn("tokens", F.slice("tokens", F.lit(1), F.col("own").cast("int")))
+    before = F.col("before") if "before" in tokens.columns else F.lit(0)
+    seen = (tokens.select(*DOC, F.explode(F.array_distinct("tokens")).alias("token")).distinct()
             .join(words.select(*DOC, "word").distinct(), list(DOC))
             .where(F.col("token").contains(F.col("word"))))
-    placed = tokens.select(*DOC, F.posexplode("tokens").alias("pos", "token"))
+    placed = tokens.select(*DOC, before.alias("before"), F.posexplode("tokens").alias("pos", "token")).withColumn(
+        "pos", F.col("pos") + F.col("before"))
     hits = (placed.join(seen, [*DOC, "token"]).join(words, [*DOC, "word"])
             .groupBy(*DOC, "rank", "term", "length", (F.col("pos") - F.col("at")).alias("start"))
             .agg(F.countDistinct("at").alias("matched")))

@@ -14,14 +14,14 @@ SEGMENT_LINES = 1000
 
 
 def ordered_segments(rows: DataFrame, keys: Sequence[str], order: str, value: Column,
-                     glue: str = " ") -> DataFrame:
+                     glue: str = " ", length: int | None = None) -> DataFrame:
     """(keys, segment, text, first): values joined in order, a bounded run of them per segment.
 
-    `order` must be unique within a key. Segments are ranges of it, so even a key
-    holding most rows is joined by many tasks.
+    `order` must be unique within a key. Segments are ranges of `length` of it, so even a
+    key holding most rows is joined by many tasks.
     """
     packed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v"))))
-    return (rows.groupBy(*keys, F.floor(F.col(order) / SEGMENT_LINES).alias("segment"))
+    return (rows.groupBy(*keys, F.floor(F.col(order) / (length or SEGMENT_LINES)).alias("segment"))
             .agg(F.array_join(F.transform(packed, lambda x: x["v"]), glue).alias("text"),
                  F.min(order).alias("first")))
 

@@ -42,6 +42,35 @@ def tokenized(docs: DataFrame, params: KeyphraseParams = KeyphraseParams()) -> D
         F.size("title_words").alias("title_len"))
 
 
+def segment_tokens(segments: DataFrame, params: KeyphraseParams = KeyphraseParams()) -> DataFrame:
+    """(corpus, doc_id, tokens, own, before) of documents that come in segments (.., segment, text).
+
+    No row holds a whole document. The tokens of a segment are followed by those that phrases beginning
+    in it may need from the next ones; `own` counts those before that, `before` the tokens of all earlier
+    segments. So every phrase is found once, at the place it has in the whole document.
+    """
+    if params.include_title:
+        raise ValueError("segments have no titles")
+    more = max(params.gram_sizes) - 1
+    words = F.array_join(tx.tokenize(tx.normalize_text(F.col("text"))), "\n")
+    split = (spread_by(segments.select(*DOC, "segment", "text"), *DOC, "segment").select(*DOC, "segment", words.alias("words"))
+             .select(*DOC, "segment", F.filter(F.split("words", "\n"), lambda w: w != "").alias("tokens"))
+             .where(F.size("tokens") > 0))
+    split = cut_lineage(split)
+    # only sizes and first tokens of the segments meet per document; every one has a token at least
+    document = Window.partitionBy(*DOC).orderBy("segment")
+    ends = split.select(*DOC, "segment", F.size("tokens").cast("long").alias("own"), F.slice("tokens", 1, max(more, 1)).alias("first")).select(
+        *DOC, "segment", "own",
+        F.coalesce(F.sum("own").over(document.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+        F.slice(F.flatten(F.collect_list("first").over(document.rowsBetween(1, max(more, 1)))), 1, more).alias("next"))
+    return split.join(ends, [*DOC, "segment"]).select(*DOC, F.concat("tokens", "next").alias("tokens"), "own", "before")
+
+
+def bare(tokens: DataFrame) -> DataFrame:
+    """The tokens without titles."""
+    return tokens.select(*DOC, "tokens", *[c for c in ("own", "before") if c in tokens.columns])
+
+
 def grams(words: Column, size: int) -> Column:
     """All runs of `size` words joined by underscores, in order."""
     starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - (size - 1))
@@ -72,6 +101,8 @@ def gram_rows(tokens: DataFrame, sizes: Sequence[int], stop_words: bool = False)
     lose those with a stop word at either end when `stop_words` is set.
     """
     windows = word_windows(tokens, max(sizes))
+    if "own" in tokens.columns:
+        windows = windows.where("pos < own").withColumn("pos", (F.col("pos") + F.col("before")).cast("int")).drop("own", "before")
     carried = [c for c in windows.columns if not (c[0] == "w" and c[1:].isdigit())]
     options = []
     for n in sizes:
@@ -132,7 +163,7 @@ def document_frequency(tokens: DataFrame, params: KeyphraseParams = KeyphrasePar
     The tokens are already spread by document, so making a document's terms
     distinct stays local and only per-task counts are shuffled by term.
     """
-    occ = gram_rows(tokens.select(*DOC, "tokens"), params.gram_sizes, params.remove_stopwords)
+    occ = gram_rows(bare(tokens), params.gram_sizes, params.remove_stopwords)
     return (occ.where(tx.count_underscores(F.col("term")) < 2)
             .groupBy(*DOC, "term").agg(F.lit(1).alias("one"))
             .groupBy("corpus", "term").agg(F.count("*").alias("df")))

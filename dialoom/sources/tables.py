@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dialoom.session import cut_lineage
+
 LINE_SCHEMA = T.StructType([
     T.StructField("character_name", T.StringType()),
     T.StructField("line", T.StringType()),
@@ -132,6 +134,34 @@ def get_results(spark: SparkSession, path: str, show: str, kind: str,
     return found if entity is None else found.where(F.col("entity") == entity)
 
 
+def stored_results(spark: SparkSession, path: str) -> DataFrame:
+    """All stored results; none where nothing was stored yet."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], RESULT_SCHEMA)
+    return spark.read.schema(RESULT_SCHEMA).parquet(path)
+
+
+ENTITY = ["show", "kind", "entity"]
+
+
+def results_or_build(spark: SparkSession, path: str, wanted: DataFrame,
+                     build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The results of the wanted entities (show, kind, entity), built and stored first where they are missing.
+
+    build gets the missing entities and gives their results; what it gives beyond them is left out. They are
+    added to their partitions, so what is stored stays as it is. An entity without any result is built anew
+    each time.
+    """
+    keys = wanted.select(*ENTITY).distinct()
+    have = stored_results(spark, path).select(*ENTITY).distinct()
+    missing = cut_lineage(keys.join(have, ENTITY, "left_anti"))
+    if not missing.isEmpty():
+        part = F.pmod(F.xxhash64("entity"), F.lit(RESULT_PARTS))
+        (check_schema(build(missing), RESULT_SCHEMA).join(missing, ENTITY, "left_semi").select(*RESULT_SCHEMA.names)
+         .repartition("show", "kind", part).write.mode("append").partitionBy("show", "kind").parquet(path))
+    return stored_results(spark, path).join(keys, ENTITY, "left_semi").select(*RESULT_SCHEMA.names)
+
+
 def decode_vector(column: Column) -> Column:
     return column.cast("array<double>")
 

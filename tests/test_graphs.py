@@ -11,6 +11,7 @@ from dialoom.operators import similar as sm
 from dialoom.operators import terms as tm
 from dialoom.operators.centrality import centrality, pagerank_by_rounds
 from dialoom.params import KeyphraseParams, RankParams
+from dialoom.plans.keyphrases import keyphrases, segment_keyphrases
 
 
 def arrays(edges):
@@ -184,3 +185,23 @@ def test_documents_in_several_blocks(spark, monkeypatch):
         monkeypatch.setattr(sm, "BLOCK_DOCS", size)
         found.append(sorted((r.corpus, r.doc_id, r["rank"], r.other, round(r.sim, 9)) for r in sm.similar_documents(docs, 5).collect()))
     assert found[0] == found[1] and len(found[0]) == 5 * 64
+
+
+@pytest.mark.parametrize("mode", ["exact", "contains"])
+def test_segments_count_as_whole_documents(spark, mode):
+    made = np.random.default_rng(11)
+    words = ["red", "fox", "river", "king", "landing", "of", "the", "winter", "foxes"]
+    segments = [("c", d, i, " ".join(made.choice(words, made.integers(0, 4)))) for d in range(4) for i in range(30)]
+    whole = [("c", d, " ".join(t for _, e, _, t in segments if e == d)) for d in range(4)]
+    params = KeyphraseParams(sizes=(1, 2, 3, 5), take_top=12, graph_cutoff=9, position_mode=mode)
+    parts = spark.createDataFrame(segments, "corpus string, doc_id long, segment long, text string")
+    docs = spark.createDataFrame(whole, "corpus string, doc_id long, text string")
+    tokens = [tm.tokenized(docs, params), tm.segment_tokens(parts, params)]
+    tops = [tm.keyphrase_candidates(docs, params, tokens=t) for t in tokens]
+    places = [co.phrase_positions(t, tops[0], params) for t in tokens]
+    ranks = [keyphrases(docs, params, RankParams(rounds=9)), segment_keyphrases(parts, params, RankParams(rounds=9))]
+    for a, b, cols in ((*tops, ("doc_id", "rank", "term", "first_pos")), (*places, ("doc_id", "rank", "start", "end")),
+                       (*ranks, ("doc_id", "rank", "term"))):
+        rows = sorted(map(tuple, a.select(*cols).collect()))
+        assert rows and rows == sorted(map(tuple, b.select(*cols).collect()))
+    assert segment_keyphrases(parts.limit(0), params).count() == 0

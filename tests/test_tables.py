@@ -92,3 +92,23 @@ def test_settings_per_show(spark):
     plain = {c: keyphrase_candidates(texts, KeyphraseParams(term_len_decay=c == "a")).where(f"corpus = '{c}'") for c in "ab"}
     got = sorted(map(tuple, keyphrase_candidates(texts, settings=decay).select(*plain["a"].columns).collect()))
     assert got == sorted(map(tuple, plain["a"].unionByName(plain["b"]).collect()))
+
+
+def test_only_missing_results_are_built(spark, tmp_path):
+    path, asked = str(tmp_path / "results"), []
+
+    def rows(entities, item):
+        return spark.createDataFrame([("s", kind, e, 1, item, 0.5) for kind, e in entities], tb.RESULT_SCHEMA)
+
+    def build(missing):
+        asked.append(sorted((r.kind, r.entity) for r in missing.collect()))
+        return rows({*asked[-1], ("a", "other"), ("a", "e1")}, "new")
+
+    one, two = [("a", "e1"), ("b", "e1")], [("a", "e1"), ("a", "e2"), ("c", "e3")]
+    for entities in (one, two, one, two):
+        got = tb.results_or_build(spark, path, rows(entities, "").select(*tb.ENTITY), build)
+        assert sorted((r.kind, r.entity) for r in got.collect()) == sorted(entities)
+    assert asked == [sorted(one), [("a", "e2"), ("c", "e3")]]
+    tb.put_results(rows([("a", "e1")], "put"), str(tmp_path / "put"))
+    kept = tb.results_or_build(spark, str(tmp_path / "put"), rows(two, "").select(*tb.ENTITY), build)
+    assert sorted((r.entity, r["item"]) for r in kept.collect()) == [("e1", "put"), ("e2", "new"), ("e3", "new")]
