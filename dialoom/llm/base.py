@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -22,10 +23,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a table in the shared folder: lineage is cut, lost executors reread it."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables written in this process and not removed yet.
+_TABLES: list[str] = []
+
+
+def tables_so_far() -> int:
+    return len(_TABLES)
+
+
+def remove_tables(spark: SparkSession, since: int = 0, but: tuple[DataFrame, ...] = ()) -> None:
+    """Remove the tables written since then, except those that the frames kept still read."""
+    read = [unquote(file) for frame in but for file in frame.inputFiles()]
+    for path in _TABLES[since:]:
+        if not any(f"/{path.rsplit('/', 1)[1]}/" in file for file in read):
+            _TABLES.remove(path)
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, with as many underscores in front as make it differ from every column, in any case of letters."""
     taken = {c.lower() for c in df.columns}

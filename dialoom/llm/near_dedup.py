@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dialoom.llm.base import free_name, written
+from dialoom.llm.base import free_name, remove_tables, tables_so_far, written
 from dialoom.llm.components import components
 from dialoom.llm.hashing import ODD, mixed
 
@@ -38,7 +38,7 @@ SLOTS, DEVIATIONS = 128, 6
 #: Centres of its buckets that a document is compared with before all else, and how often again, with other
 #: centres, where that leaves a bucket in parts.
 STARS, AGAIN = 3, 2
-BLOCK = 256
+BLOCK = 2048
 REMEMBERED = 300_000
 
 
@@ -221,12 +221,13 @@ def _with_centres(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _dealt(members: DataFrame, marks: DataFrame) -> DataFrame:
-    """(key, x, y, right, ..): members of the buckets in several parts, dealt to pairs of blocks.
+    """(key, x, y, side, ..): members of the buckets in several parts, dealt to pairs of blocks.
 
-    Of two members of different parts one at least is a stray, outside the bucket's largest part. So a
-    bucket is cut into blocks of about BLOCK rows, x, and its strays (right) are cut into blocks as well,
-    y; every x meets every y. Neither is gathered whole, and members of the largest part are copied only
-    as often as there are blocks of strays.
+    Of two members of different parts one at least is a stray, outside the bucket's largest part. A
+    bucket of up to BLOCK rows is one block. A larger one is cut into blocks x, and its strays are cut
+    into blocks y as well; every x meets every y. Neither is gathered whole, and members of the largest
+    part are copied only as often as there are blocks of strays. side tells where a row stands: LEFT as
+    one of x, RIGHT as a stray of y, BOTH in a bucket of one block.
     """
     sizes = _open(members, 0).select(
         "key", "largest", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"),
@@ -241,8 +242,16 @@ def _dealt(members: DataFrame, marks: DataFrame) -> DataFrame:
     def own(blocks: str) -> Column:
         return F.pmod("hash", F.col(blocks)).cast("int")
 
-    return placed.select("key", own("blocks").alias("x"), every("stray_blocks").alias("y"), F.lit(False).alias("right"), *rest).unionByName(
-        placed.where("stray").select("key", every("blocks").alias("x"), own("stray_blocks").alias("y"), F.lit(True).alias("right"), *rest))
+    def at(rows: DataFrame, x: Column, y: Column, side: int) -> DataFrame:
+        return rows.select("key", x.alias("x"), y.alias("y"), F.lit(side).alias("side"), *rest)
+
+    large = placed.where("blocks > 1")
+    return (at(placed.where("blocks = 1"), F.lit(0), F.lit(0), BOTH)
+            .unionByName(at(large, own("blocks"), every("stray_blocks"), LEFT))
+            .unionByName(at(large.where("stray"), every("blocks"), own("stray_blocks"), RIGHT)))
+
+
+LEFT, RIGHT, BOTH = range(3)
 
 
 def _open_blocks(members: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
@@ -258,12 +267,12 @@ def _open_blocks(members: DataFrame, marks: DataFrame, percent: int) -> DataFram
         group, rows = None, []
 
         def compare() -> Iterator[tuple]:
-            right, stray = (np.array([r[i] for r in rows], bool) for i in (3, 8))
+            at, stray = np.array([r[3] for r in rows]), np.array([r[8] for r in rows], bool)
             c, n, part = (np.array([r[i] for r in rows], np.int64) for i in (5, 6, 7))
             sketch_rows = np.array([r[9] for r in rows], np.int64)
             slot_rows = np.frombuffer(b"".join(r[10] for r in rows), np.uint8).reshape(len(rows), SLOTS)
-            found, lefts = [], np.flatnonzero(~right)
-            for i in np.flatnonzero(right):
+            found, lefts = [], np.flatnonzero(at != RIGHT)
+            for i in np.flatnonzero((at != LEFT) & stray):
                 rest = lefts[part[lefts] != part[i]]
                 rest = rest[~stray[rest] | (c[rest] < c[i])]  # two strays meet both ways round
                 rest = rest[100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i])]
@@ -400,7 +409,8 @@ def _classes_and_parts(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFr
                .orderBy("first").withColumn("c", F.monotonically_increasing_id())
                .select("class", "c", F.col("first.rid").alias("rid"), F.col("first.doc_id").alias("least"), "n"))
     classes = written(classes, "classes")
-    marks = written(classes.select("c", "rid", "n").join(sketched.select("rid", "sketches", "slots"), "rid").drop("rid"), "marks")
+    marks = classes.select("c", "rid", "n").join(sketched.select("rid", "sketches", "slots"), "rid").drop("rid")
+    before = tables_so_far()
     order = F.xxhash64("c")
     keys = F.array(*[F.xxhash64(F.lit(i), F.lit(j), F.col("sketches")[i], F.col("sketches")[side + j])
                      for i in range(side) for j in range(side)])
@@ -428,7 +438,9 @@ def _classes_and_parts(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFr
         parts = written(components(links), "parts")
     blocks = written(_open_blocks(_in_parts(buckets, parts), marks.drop("n"), percent), "blocks")
     links = written(links.unionByName(_links_of_blocks(blocks, texts, percent)), "links")
-    return sketched, classes, components(links)
+    parts = components(links)
+    remove_tables(rows.sparkSession, before, but=(parts,))
+    return sketched, classes, parts
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -438,11 +450,12 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     without words (null, empty or blank text) all stay, repeated ones too. All columns stay, whatever
     their names; an empty table stays empty.
     """
-    rid = free_name(docs, "rid")
+    rid, before = free_name(docs, "rid"), tables_so_far()
     rows = numbered(docs, rid)
     sketched, classes, parts = _classes_and_parts(rows.select(F.col(rid).alias("rid"), "doc_id", "text"), percent)
     first = classes.select("c", "rid").join(parts, F.col("c") == F.col("u"), "left").where("component IS NULL OR component = c")
-    staying = first.select("rid").unionByName(sketched.where("n_shingles = 0").select("rid"))
+    staying = written(first.select("rid").unionByName(sketched.where("n_shingles = 0").select("rid")), "staying")
+    remove_tables(docs.sparkSession, before, but=(rows, staying))
     return rows.join(staying.withColumnRenamed("rid", rid), rid, "left_semi").select(*docs.columns)
 
 

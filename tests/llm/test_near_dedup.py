@@ -102,20 +102,23 @@ def test_bucket_blocks_lose_no_pair(spark, monkeypatch):
 
 def test_dealt_rows_grow_with_the_group(spark, monkeypatch):
     """Of a bucket that is one large part and a few strays, each member is copied a bounded number of times."""
-    monkeypatch.setattr(near_dedup, "BLOCK", 16)
     dealt = {}
-    for n in (500, 2000):
+    for block, n in ((16, 500), (16, 2000), (600, 500)):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
         members = spark.range(n).selectExpr("0 AS table", "7L AS key", "id AS c", "50 AS n", "IF(id % 200 = 199, id, 0L) AS part")
         marks = spark.range(n).selectExpr("id AS c", "array(1L) AS sketches", "binary('x') AS slots")
         rows = near_dedup._dealt(members, marks).collect()
         strays = {c for c in range(n) if c % 200 == 199}
         met = {(r.x, r.y): ([], []) for r in rows}
         for r in rows:
-            met[r.x, r.y][r.right].append(r.c)
+            if r.side != near_dedup.RIGHT:
+                met[r.x, r.y][0].append(r.c)
+            if r.side == near_dedup.RIGHT or r.side == near_dedup.BOTH and r.c in strays:
+                met[r.x, r.y][1].append(r.c)
         pairs = [(a, b) for left, right in met.values() for a in left for b in right if a not in strays or a < b]
         assert sorted(pairs) == sorted((a, b) for b in strays for a in range(n) if a not in strays or a < b)
-        dealt[n] = len(rows)
-    assert dealt[500] <= 2 * 500 and dealt[2000] <= 2 * 2000
+        dealt[block, n] = len(rows)
+    assert dealt[16, 500] <= 2 * 500 and dealt[16, 2000] <= 2 * 2000 and dealt[600, 500] == 500
 
 
 def test_one_row_of_each_group(spark):
