@@ -234,9 +234,10 @@ def _telling(template: str) -> list[str]:
 
 
 def resemblance(words: Column, family: str) -> Column:
-    """(share, weight) of the family's template that the words match best: of its words' weight, what is there.
+    """(share, weight) of the family's template that the words match best.
 
-    Without half of its telling words a template is not matched at all.
+    The share is of its words or of their weight, whichever is less: a telling word alone, which may be an
+    ordinary one elsewhere, is not enough. Without half of its telling words a template is not matched at all.
     """
     def one(template: str) -> Column:
         own, telling = sorted(set(_words(template))), _telling(template)
@@ -244,8 +245,9 @@ def resemblance(words: Column, family: str) -> Column:
         matched = F.aggregate(F.zip_with(F.array(*[F.lit(w) for w in own]), weights, lambda w, k: F.when(
             F.array_contains(words, w), k).otherwise(0.0)), F.lit(0.0), lambda total, k: total + k)
         told = 2 * F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in telling]))) >= len(telling)
+        number = F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in own]))) / len(own)
         return F.transform(F.array(F.when(told, F.round(matched, 6)).otherwise(0.0)), lambda m: F.struct(
-            (m / round(sum(WEIGHTS[w] for w in own), 6)).alias("share"), m.alias("weight")))[0]
+            F.least(m / round(sum(WEIGHTS[w] for w in own), 6), number).alias("share"), m.alias("weight")))[0]
 
     return F.array_max(F.array(*[one(t) for t in TEMPLATES[family]]))
 

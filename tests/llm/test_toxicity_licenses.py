@@ -173,7 +173,7 @@ def plain_judged(windows, least):
         def one(t):
             rarest = {w for w in t if users[w] == min(users[x] for x in t)}
             matched = round(sum(1 / users[w] for w in t & words), 6) if 2 * len(rarest & words) >= len(rarest) else 0.0
-            return matched / round(sum(1 / users[w] for w in t), 6), matched
+            return min(matched / round(sum(1 / users[w] for w in t), 6), len(t & words) / len(t)), matched
 
         return {f: max(map(one, ts)) for f, ts in templates.items()}
 
