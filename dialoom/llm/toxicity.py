@@ -23,9 +23,7 @@ from dialoom.llm.base import per_row, written
 
 #: Labelled documents to learn from: at most this many of each label, lowest hashes first.
 SAMPLE = 10_000
-#: The lexicon holds at most this many entries, the surest first: whole words, and stems (beginnings
-#: of words) of these lengths.
-LEXICON = 2000
+#: The lexicon holds whole words, and stems (beginnings of words) of these lengths.
 STEMS = range(4, 9)
 LEAST_WEIGHT = 2.5
 SURENESS = 1.64
@@ -220,11 +218,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
         F.count("*").alias("n")).collect()}
     all_bad, all_good = totals.get(1, 0), totals.get(0, 0)
     counts = _counted(samples, entries)
+    # what follows comes from the sampled labelled texts alone, so it does not grow with the documents
     # log-odds of a word, less SURENESS standard errors: what it is worth at least
     surely = (F.log((F.col("bad") + 0.5) / (all_bad + 1)) - F.log((F.col("good") + 0.5) / (all_good + 1))
               - SURENESS * F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5)))
     top = (counts.withColumn("weight", F.round(surely, 6)).where(F.col("weight") >= LEAST_WEIGHT)
-           .orderBy(F.desc("weight"), F.desc(F.length("string")), "string").limit(LEXICON).collect())
+           .orderBy(F.desc("weight"), F.desc(F.length("string")), "string").collect())
     weights = chosen([(r.string, r.weight) for r in top])
     plain = Lexicon(tuple(weights.items()), (), 1.0, 0.0)
 
@@ -241,7 +240,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     if weights:
         spared = [r.string for r in _counted(samples, phrases).where(
             (F.col("good") >= EXCEPTION_TIMES) & (F.col("good") * (all_bad + 1) > F.col("bad") * (all_good + 1) * 2)
-        ).orderBy(F.desc("good"), "string").limit(LEXICON).collect()]
+        ).orderBy(F.desc("good"), "string").collect()]
     rough = Lexicon(tuple(sorted(weights.items())), tuple(sorted(spared)), 1.0, -2.0)
     densities = per_row(samples, ["text", "toxic"], lambda m, text, toxic: (round(m.density(text)[0], 2), int(toxic)),
                         "x double, y int", lambda: Matcher(rough))

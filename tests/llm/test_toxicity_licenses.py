@@ -67,6 +67,22 @@ def test_held_out_documents(spark):
     assert sorted(toxic)[len(toxic) // 2] >= toxicity.THRESHOLD
 
 
+def test_large_lexicons_are_learned_whole(spark):
+    made = random.Random(9)
+    letters = "abcdefghijklmnoprstuvwz"
+    words = sorted({"".join(made.choice(letters) for _ in range(9)) for _ in range(5000)})
+    plain = ["".join(made.choice(letters) for _ in range(6)) for _ in range(400)]
+    spread = [w for w in words for _ in range(110)]
+    made.shuffle(spread)
+    texts = [(" ".join([*spread[i:i + 300], *made.sample(plain, 30)]), 1) for i in range(0, len(spread), 300)]
+    texts += [(" ".join(made.sample(plain, 60)), 0) for _ in texts]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, (_, y) in enumerate(texts)], "doc_id long, quality int, toxic int")
+    matcher = toxicity.Matcher(toxicity.learn(docs, labels))
+    assert sum(bool(matcher.density(w)[1]) for w in words) >= 0.999 * len(words)
+    assert not any(matcher.density(w)[1] for w in plain if not any(x.startswith(w[:5]) for x in words))
+
+
 @pytest.fixture(scope="module")
 def scanner(spark):
     return license_scan.fit(spark.read.parquet(f"{DATA}/documents.parquet"))
