@@ -7,9 +7,9 @@ takes the direct way (all pairs, naive unions) where the Spark job prunes.
 from __future__ import annotations
 
 import re
+from html.entities import name2codepoint
 
 from dialoom.functions import wordlists as wl
-from dialoom.operators.pages import ENTITIES
 from checks.config import (ALIAS_ROWS, EDIT_RATIO, LINK_EXCLUDED, MIN_RATIO, PHRASE_PREFIX,
                            RANK_ROUNDS, SETTINGS, TOP_NAMES)
 
@@ -401,6 +401,26 @@ def doc_steps(lines: str = "lines", settings=()) -> list:
          f"episode, line_no FROM {lines} UNION ALL SELECT show, season::VARCHAR, episode, line_no FROM {lines}) GROUP BY ALL")]
 
 
+def entries(pairs) -> str:
+    return "MAP {" + ", ".join(f"{k}: {v}" for k, v in pairs) + "}"
+
+
+def references(text: str) -> str:
+    """Character references decoded, one row of a list per reference or stretch of text."""
+    old = entries((n, q(bytes([n]).decode("cp1252"))) for n in range(128, 160) if n not in (129, 141, 143, 144, 157))
+    names = entries([*((q(name), f"chr({point})") for name, point in name2codepoint.items()), (q("apos"), "chr(39)")])
+
+    def of_number(n: str) -> str:
+        return (f"coalesce({old}[{n}], CASE WHEN {n} BETWEEN 1 AND 55295 OR {n} BETWEEN 57344 AND 1114111 "
+                f"THEN chr({n}::INTEGER) END, chr(65533))")
+
+    decimal = "TRY_CAST(p[3:-2] AS BIGINT)"
+    hexadecimal = "TRY_CAST('0x' || p[4:-2] AS BIGINT)"
+    return (f"coalesce(list_aggregate(list_transform(regexp_extract_all({text}, '&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);|[^&]+|&'), "
+            f"lambda p: CASE WHEN NOT (starts_with(p, '&') AND ends_with(p, ';')) THEN p WHEN regexp_matches(p, '^&#[xX]') THEN {of_number(hexadecimal)} "
+            f"WHEN starts_with(p, '&#') THEN {of_number(decimal)} ELSE coalesce({names}[p[2:-2]], p) END), 'string_agg', ''), '')")
+
+
 def label_steps(summary: str, lines: str) -> list:
     """summary (show, episode, pos, sentence)."""
     squeeze = "regexp_replace({}, '[ ]{{2,}}', ' ', 'g')"
@@ -417,10 +437,13 @@ def label_steps(summary: str, lines: str) -> list:
 PARAS = [("bodies", r"SELECT page_id, url, regexp_extract_all(regexp_replace(html, '(<p(?:\s[^>]*)?>)', '</p>\1', 'g') || '</p>', "
           r"'(?s)<p(?:\s[^>]*)?>(.*?)</p>', 1) AS b FROM pages"),
          ("paras", "SELECT page_id, url, list_transform(b[1:greatest(len(b) - 1, 1)], lambda x: "
-          + fold("regexp_replace(x, '(?s)<[^>]*>', '', 'g')", ENTITIES) + ") AS ps FROM bodies"),
+          + references("regexp_replace(x, '(?s)<[^>]*>', '', 'g')") + ") AS ps FROM bodies"),
          ("ptext", "SELECT page_id, url, array_to_string(ps, ' ') AS text FROM paras"),
          ("plines", "SELECT page_id, unnest(l) AS line, unnest(range(len(l))) AS at FROM (SELECT page_id, "
           "list_filter(string_split(text, chr(10)), lambda x: x <> '') AS l FROM ptext)")]
+#: Pages with a paragraph of references before, made of their number and size.
+REFERRING = ("SELECT page_id, url, '<p>&#' || (page_id * 7919 % 70000) || ';&#x' || printf('%X', length(html) * 31 % 1200000) || ';&#' || (page_id % 300) "
+             "|| ';&eacute;&amp;lt;&nope;&lt&</p>' || html AS html FROM pages")
 LINKS = [("tags", r"SELECT page_id, unnest(t) AS tag, unnest(range(len(t))) AS ord FROM (SELECT page_id, "
           r"regexp_extract_all(html, '<a\s[^>]*>') AS t FROM pages)"),
          ("links", "SELECT page_id, ord, regexp_extract(tag, 'href=\"([^\"]*)\"', 1) AS href FROM tags "
@@ -506,6 +529,7 @@ def oracle_sql() -> dict[str, str]:
         "page_links_excluded": sql(LINKS, f"SELECT page_id, ord, href FROM links WHERE href NOT IN ({', '.join(map(q, LINK_EXCLUDED))})"),
         "page_paragraphs": sql(PARAS, "SELECT page_id, unnest(ps) AS paragraph, unnest(range(len(ps))) AS at FROM paras"),
         "page_text": sql(PARAS, "SELECT page_id, text FROM ptext"),
+        "page_references": sql([("pages", REFERRING), *PARAS], "SELECT page_id, text FROM ptext"),
         "script_lines": sql(PARAS, "SELECT page_id, at, line FROM plines"),
         "page_script_lines": sql(PARAS, f"SELECT {speaker_sql('line')[0]} AS character_name, {speaker_sql('line')[1]} AS line, "
                                  r"line AS narration, 'pages' AS show, lower(replace(regexp_extract(url, 'example\.(?:com|net|org)/(.*)', 1), '-', ' ')) AS episode, "

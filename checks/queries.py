@@ -188,6 +188,13 @@ def told_lines(spark, sf) -> DataFrame:
     return tb.check_schema(pg.script_lines(pages, r"example\.(?:com|net|org)/", ""), tb.LINE_SCHEMA)
 
 
+def referring_pages(spark, sf) -> DataFrame:
+    """Pages with a paragraph of references before, made of their number and size."""
+    return table(spark, sf, "pages").select("page_id", F.concat(
+        F.lit("<p>&#"), F.col("page_id") * 7919 % 70000, F.lit(";&#x"), F.hex(F.length("html") * 31 % 1200000), F.lit(";&#"),
+        F.col("page_id") % 300, F.lit(";&eacute;&amp;lt;&nope;&lt&</p>"), "html").alias("html"))
+
+
 def _scratch(spark, name: str) -> str:
     """A new path in the folder the driver and all executors share."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -297,6 +304,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "page_paragraphs": lambda s, d: out(table(s, d, "pages").select(
             "page_id", F.posexplode(pg.paragraphs(F.col("html"))).alias("at", "paragraph"))),
         "page_text": lambda s, d: table(s, d, "pages").select("page_id", pg.page_text(F.col("html")).alias("text")),
+        "page_references": lambda s, d: referring_pages(s, d).select("page_id", pg.page_text(F.col("html")).alias("text")),
         "script_lines": lambda s, d: out(page_lines(s, d)),
         "page_script_lines": told_lines,
         "stored_scan": stored_scan,

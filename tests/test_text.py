@@ -74,3 +74,11 @@ def test_name_ratios(spark):
     assert [r[0] for r in rows.select(nm.ratio(F.col("a"), F.col("b"))).collect()] == [91, 83]
     held = spark.createDataFrame([("JON", "JON THE BRAVE"), ("JON", "JO"), ("JON", "NED")], "a string, b string")
     assert [r[0] for r in held.select(nm.contained(F.col("a"), F.col("b"))).collect()] == [True, True, False]
+
+
+def test_references(spark):
+    cases = {"a &lt;b&gt; &amp;lt; &#39;&#x27;&#X2019;": "a <b> &lt; ''’", "&#233;&eacute;&#128512;": "éé😀", "&#150;&#x81;": "–\x81",
+             "&#0;&#xD800;&#1114112;&#99999999999;": "�" * 4, "&#00000000065;": "A", "&nope; &lt & &#; &;": "&nope; &lt & &#; &;",
+             "": "", "line\n&nbsp;two": "line\n two"}
+    assert values(spark, list(cases), pg.decode_references) == list(cases.values())
+    assert values(spark, [None], pg.decode_references) == [None]
