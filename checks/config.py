@@ -16,6 +16,7 @@ ALIAS_ROWS = [(show, canonical, order, alias) for show in SHOWS
 LINK_EXCLUDED = ("/The", "/and", "/En")
 MIN_RATIO = 80
 EDIT_RATIO = 60
+PARTIAL_RATIO = 60
 RANK_ROUNDS = 30
 TOP_NAMES = 20
 # Of two shows their own characters, removed names, decay and length of lists; the third takes the common values.

@@ -10,7 +10,7 @@ import re
 from html.entities import name2codepoint
 
 from dialoom.functions import wordlists as wl
-from checks.config import (ALIAS_ROWS, EDIT_RATIO, LINK_EXCLUDED, MIN_RATIO, PHRASE_PREFIX,
+from checks.config import (ALIAS_ROWS, EDIT_RATIO, LINK_EXCLUDED, MIN_RATIO, PARTIAL_RATIO, PHRASE_PREFIX,
                            RANK_ROUNDS, SETTINGS, TOP_NAMES)
 
 BLANK = r"\s\x0B\x85\p{Z}"
@@ -375,6 +375,12 @@ PAIRS = [("pairs", "SELECT o.show, o.character_name, c.canonical, c.canon_ord FR
          ("resolved", "SELECT coalesce(m.canonical, a.character_name) AS character_name, line, narration, a.show, "
           "episode, season, url, line_no FROM aliased a LEFT JOIN likely m USING (show, character_name)")]
 NAMED = LINES + ALIASES + PAIRS
+#: The shorter of a name and a canonical name with a space, beside every window as long of the other.
+SLIDING = NAMED + [
+    ("variants", "SELECT *, canonical || ' ' AS v FROM pairs UNION ALL SELECT *, ' ' || canonical AS v FROM pairs"),
+    ("sides", "SELECT show, character_name, canonical, CASE WHEN length(v) <= length(character_name) THEN v ELSE character_name END AS a, "
+     "CASE WHEN length(v) <= length(character_name) THEN character_name ELSE v END AS b FROM variants"),
+    ("windows", "SELECT show, character_name, canonical, a, substr(b, unnest(range(1, length(b) - length(a) + 2)), length(a)) AS w FROM sides")]
 
 
 def punct(x: str) -> str:
@@ -558,6 +564,8 @@ def oracle_sql() -> dict[str, str]:
         "episode_docs": sql(docs, "SELECT show, episode, text FROM ep_docs"),
         "episode_order": sql(docs, "SELECT show, episode, first AS first_line FROM ep_docs"),
         "season_index": sql(docs, "SELECT show, season_key, episode, first_line FROM seasons"),
+        "partial_ratio_names": sql(SLIDING, "SELECT DISTINCT show, character_name, canonical FROM windows "
+                                   f"WHERE round(100.0::DOUBLE * {lcs('a', 'w')} / length(a)) >= {PARTIAL_RATIO}"),
         "top_speakers": sql(docs, "SELECT show, character_name, n_lines, first_line, rank FROM speakers"),
         "character_docs": sql(docs, "SELECT show, character_name, text FROM char_docs"),
         # text

@@ -326,6 +326,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             min_ratio=config.EDIT_RATIO)), "show", "character_name", "canonical", "ratio", ratio=6),
         "partial_names": lambda s, d: nm.partial_matches(open_names(s, d), aliases(s)).select(
             "show", "character_name", "canonical"),
+        "partial_ratio_names": lambda s, d: nm.partial_matches(open_names(s, d), aliases(s), NameParams(
+            min_partial_ratio=config.PARTIAL_RATIO)).select("show", "character_name", "canonical"),
         "resolve_names": lambda s, d: resolved(s, d).select("line_no", "character_name", "line", "narration"),
         "punctuate": punctuated,
         "episode_docs": lambda s, d: dc.episode_documents(lines(s, d)).select("show", "episode", "text"),
