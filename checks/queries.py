@@ -127,9 +127,9 @@ def resolved(spark, sf) -> DataFrame:
     return nm.resolve_names(lines(spark, sf), aliases(spark), NAMES)
 
 
-def turn_sentences(spark, sf) -> DataFrame:
+def turn_sentences(rows: DataFrame) -> DataFrame:
     """Every sentence of a line stands for a summary sentence of its episode."""
-    return resolved(spark, sf).select(
+    return rows.select(
         "show", "episode", "line_no", F.posexplode(tx.sentences(F.col("line"))).alias("at", "sentence")).select(
         "show", "episode", (F.col("line_no") * 1000 + F.col("at")).alias("pos"), "sentence")
 
@@ -401,9 +401,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "similar_docs": lambda s, d: out(sm.similar_documents(docs(s, d)), sim=6),
         "similar_embeddings": lambda s, d: out(sm.similar_vectors(table(s, d, "embeddings").select(
             F.col("vec_id").alias("id"), F.col("embedding").alias("v"))), sim=6),
-        "speaker_join": lambda s, d: out(sp.speaker_matches(turn_sentences(s, d), resolved(s, d)),
+        "speaker_join": lambda s, d: out((lambda rows: sp.speaker_matches(turn_sentences(rows), rows))(cut_lineage(resolved(s, d))),
                                          "show", "episode", "pos", "line_no", "character_name"),
-        "speaker_labels": lambda s, d: sp.speaker_labels(turn_sentences(s, d), resolved(s, d)).select(
+        "speaker_labels": lambda s, d: (lambda rows: sp.speaker_labels(turn_sentences(rows), rows))(cut_lineage(resolved(s, d))).select(
             "show", "episode", "pos", "label"),
         "all_results": lambda s, d: out(all_results(s, d), score=6),
         "all_results_by_show": lambda s, d: out(all_results(s, d, settings=show_settings(s)), score=6),

@@ -94,7 +94,9 @@ SENTENCE = "show string, episode string, pos int, sentence string"
 LINE = "show string, episode string, line_no int, character_name string, narration string"
 
 
-def test_lines_that_hold_a_sentence(spark):
+@pytest.mark.parametrize("few", [0, sp.FEW_LINES, 10**6])
+def test_lines_that_hold_a_sentence(spark, monkeypatch, few):
+    monkeypatch.setattr(sp, "FEW_LINES", few)
     rng = random.Random(2)
     words = ["we", "go", "on", "to", "the", "wall", "a", "an", "ant"]
     lines = [("s", rng.choice("ef"), i, "A", rng.choice(["", " ", "  "]).join([" ".join(rng.choices(words, k=rng.randint(0, 9))), "end"]))
@@ -123,7 +125,8 @@ def test_few_lines_are_tried(spark):
     assert pairs.count() == pairs.distinct().count() < 1000   # of 200,000 pairs
 
 
-def test_no_sentence_and_no_line(spark):
+def test_no_sentence_and_no_line(spark, monkeypatch):
+    monkeypatch.setattr(sp, "FEW_LINES", 0)
     none, some = spark.createDataFrame([], SENTENCE), spark.createDataFrame([("s", "e", 1, "A", "hi")], LINE)
     assert sp.speaker_matches(none, some).count() == 0
     one = spark.createDataFrame([("s", "e", 1, "hi")], SENTENCE)
