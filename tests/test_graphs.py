@@ -126,6 +126,16 @@ def test_dense_neighbours_against_brute_force(spark, monkeypatch, block, pivots)
         assert [o for _, o in sorted(got[i])] == order
 
 
+def test_dense_vectors_are_copied_per_block_not_per_cell(spark, monkeypatch):
+    monkeypatch.setattr(sm, "BLOCK_ROWS", 100)
+    sent, measure = [], sm._measure
+    monkeypatch.setattr(sm, "_measure", lambda asking, data, k: sent.append(asking.count()) or measure(asking, data, k))
+    v = np.random.default_rng(2).normal(size=(300, 48))  # angles exclude nothing here
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, v array<double>")
+    assert sm.similar_vectors(rows, 5).count() == 1500
+    assert sum(sent) <= 300 * 3
+
+
 @pytest.mark.parametrize("load", [False, True])
 def test_lists_equal_the_matrix(load, monkeypatch):
     made = np.random.default_rng(4)
