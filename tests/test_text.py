@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from checks import queries as registered
 from dialoom.functions import names as nm
 from dialoom.functions import text as tx
 from dialoom.functions import wordlists as wl
@@ -82,3 +83,12 @@ def test_references(spark):
              "": "", "line\n&nbsp;two": "line\n two"}
     assert values(spark, list(cases), pg.decode_references) == list(cases.values())
     assert values(spark, [None], pg.decode_references) == [None]
+
+
+def test_numbers_of_large_keys(spark, tmp_path):
+    keys = [1, 3_037_001, 9_000_000, None]
+    spark.createDataFrame([(k, 1, 7) for k in keys], "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(
+        f"{tmp_path}/lineitem.parquet")
+    got = {r.k: r.words for r in registered.queries()["number_words"](spark, str(tmp_path)).collect()}
+    told = spark.createDataFrame([(k, str(k * k * 1000003 % 1000000007 * 7)) for k in keys if k], "k long, token string")
+    assert got == {r.k: r.words for r in told.select("k", tx.number_words(F.col("token")).alias("words")).collect()} | {None: None}
