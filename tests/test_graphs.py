@@ -1,4 +1,5 @@
 import itertools
+import re
 
 import numpy as np
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from dialoom.functions import graphs
 from dialoom.functions.nearest import Block
 from dialoom.operators import cooccurrence as co
+from dialoom.operators import common
 from dialoom.operators import similar as sm
 from dialoom.operators import terms as tm
 from dialoom.operators.centrality import centrality, pagerank_by_rounds
@@ -215,3 +217,30 @@ def test_segments_count_as_whole_documents(spark, mode):
         rows = sorted(map(tuple, a.select(*cols).collect()))
         assert rows and rows == sorted(map(tuple, b.select(*cols).collect()))
     assert segment_keyphrases(parts.limit(0), params).count() == 0
+
+
+def test_tasks_grow_with_the_text(spark, monkeypatch):
+    monkeypatch.setattr(common, "TASK_TEXT", 100)
+    docs = spark.createDataFrame([("c", i, "red fish and blue fish swim " * 5) for i in range(30)], "corpus string, doc_id long, text string")
+    assert tm.tokenized(docs).rdd.getNumPartitions() == 42
+
+
+def test_occurrences_are_not_shuffled(spark, capsys):
+    docs = spark.createDataFrame([("c", i, "red fish and blue fish swim in the red sea") for i in range(3)], "corpus string, doc_id long, text string")
+    tokens, top = tm.tokenized(docs), tm.keyphrase_candidates(docs).checkpoint()
+    for mode in ("exact", "contains"):
+        co.phrase_positions(tokens, top, KeyphraseParams(position_mode=mode)).explain()
+    plans = re.findall(r"hashpartitioning\([^)]*", capsys.readouterr().out)
+    assert plans and not any("term" in p or "token" in p for p in plans)
+
+
+@pytest.mark.parametrize("take", [1, 3, 50])
+def test_contenders_without_a_window_over_all_terms(spark, capsys, take):
+    docs = spark.createDataFrame([("c", i, "red fish and blue fish swim in the deep red sea near old harbour walls " * (i + 1)) for i in range(3)],
+                                 "corpus string, doc_id long, text string")
+    p = KeyphraseParams(take_top=take)
+    terms = tm.join_dimension(tm.document_terms(tm.tokenized(docs, p), p), tm.corpus_sizes(docs), ["corpus"]).checkpoint()
+    few = tm.contenders_of_few(terms, p)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, tm.contenders(terms, p).select(few.columns).collect()))
+    few.explain()
+    assert "WindowGroupLimit" in capsys.readouterr().out
