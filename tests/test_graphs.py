@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dialoom.functions import graphs
 from dialoom.functions.nearest import Block
 from dialoom.operators import cooccurrence as co
-from dialoom.operators import common
+from dialoom.operators import common, sentences as st
 from dialoom.operators import similar as sm
 from dialoom.operators import terms as tm
 from dialoom.operators.centrality import centrality, pagerank_by_rounds
@@ -223,6 +223,7 @@ def test_tasks_grow_with_the_text(spark, monkeypatch):
     monkeypatch.setattr(common, "TASK_TEXT", 100)
     docs = spark.createDataFrame([("c", i, "red fish and blue fish swim " * 5) for i in range(30)], "corpus string, doc_id long, text string")
     assert tm.tokenized(docs).rdd.getNumPartitions() == 42
+    assert st.distinct_sentences(docs).rdd.getNumPartitions() == 42
 
 
 def test_occurrences_are_not_shuffled(spark, capsys):
@@ -234,6 +235,22 @@ def test_occurrences_are_not_shuffled(spark, capsys):
     assert plans and not any("term" in p or "token" in p for p in plans)
 
 
+def test_sentence_vectors_are_shuffled_once(spark, capsys, monkeypatch):
+    monkeypatch.setattr(st, "BLOCK_SENTENCES", 2)
+    docs = spark.createDataFrame([("c", i, "A red fish swims. The red fish eats. Blue fish swim. One red fish swims. Sea.") for i in range(3)],
+                                 "corpus string, doc_id long, text string")
+    vectors = st.unit_vectors(st.sentence_weights(st.distinct_sentences(docs))).checkpoint()
+    found = st.similar_sentences(vectors, 0.3)
+    found.explain()
+    assert "src" not in "".join(re.findall(r"hashpartitioning\([^)]*", capsys.readouterr().out))
+    rows = {}
+    for r in vectors.collect():
+        rows.setdefault((r.doc_id, r.pos), {})[r.term] = r.u
+    want = {(d, i, j) for d, i in rows for e, j in rows if d == e and i < j
+            and round(sum(u * rows[d, j].get(t, 0.0) for t, u in rows[d, i].items()), 9) >= 0.3}
+    assert {(r.doc_id, r.src, r.dst) for r in found.collect()} == want and want
+
+
 @pytest.mark.parametrize("take", [1, 3, 50])
 def test_contenders_without_a_window_over_all_terms(spark, capsys, take):
     docs = spark.createDataFrame([("c", i, "red fish and blue fish swim in the deep red sea near old harbour walls " * (i + 1)) for i in range(3)],
