@@ -1,5 +1,6 @@
 """URL rules against plain readings, and mined rules against all combinations of tokens."""
 
+import random
 import re
 from collections import Counter
 from fractions import Fraction
@@ -65,6 +66,21 @@ def test_mined_rules_are_those_of_all_combinations(spark, monkeypatch):
     assert want and got == {k: (round(c, 9), round(s, 9)) for k, (c, s) in want.items()}
 
 
+def test_rules_of_more_tokens_than_fp_growth_combines(spark):
+    rng = random.Random(4)
+    rows = []
+    for _ in range(600):  # the verdict hangs on a pair of the tokens that tell least alone
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        verdict = "block" if (a == b) != (rng.random() < 0.02) else "allow"
+        some = [f"t{i}" for i in range(9) if verdict == "block" or rng.random() < 0.75]
+        rows.append((some + ["u"] * a + ["w"] * b, verdict))
+    got = {(tuple(r["items"]), r.verdict): (round(r.confidence, 9), round(r.support, 9)) for r in url_rules.mine(
+        spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.05, 8, 0.9).collect()}
+    want = plain_rules(rows, 30, 0.9)
+    assert (("u", "w"), "block") in want
+    assert got == {k: (round(c, 9), round(s, 9)) for k, (c, s) in want.items()}
+
+
 def test_mined_rules_judge_other_urls(spark):
     urls = [f"http://w{i}.pills.example.net/de/{i}" for i in range(60)] + [f"https://news.example.net/en/{i}?page=1" for i in range(60)]
     urls += ["http://www.pills.example.org/x", "http://news.example.com/a?page=2", "ftp://new.example.com/", "http://w1.pills.news.org/"]
