@@ -90,6 +90,15 @@ def test_few_names_are_measured(spark):
     assert 200 <= likely.count() < 2000
 
 
+def test_pairs_are_measured_once(spark, cast):
+    names, aliases, _ = cast
+    for df in (nm.partial_matches(names, aliases, NameParams(min_partial_ratio=70)), nm.fuzzy_matches(names, aliases)):
+        steps = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        at = [i for i, step in enumerate(steps) if "EvalPython" in step]
+        # what makes the pairs distinct, and their join, come before
+        assert len(at) == 1 and not any("Join" in step or "Generate" in step for step in steps[:at[0]])
+
+
 SENTENCE = "show string, episode string, pos int, sentence string"
 LINE = "show string, episode string, line_no int, character_name string, narration string"
 
