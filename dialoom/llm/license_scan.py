@@ -210,8 +210,9 @@ def fit(docs: DataFrame) -> Scanner:
         HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES, binary=True),
         LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", predictionCol="", rawPredictionCol="",
                            probabilityCol="probability", maxIter=ROUNDS, regParam=0.0002, standardization=False, family="multinomial")])
-    # written, so that the rounds of the training and what follows them do not plan the variants again
-    return Scanner(steps.fit(written(train.withColumn("weight", share), "training").repartition(4)))
+    # written, so that the rounds of the training and what follows them do not plan the variants again; in one
+    # part, as the rows are few however many documents there are, and each part sends the driver a gradient a round
+    return Scanner(steps.fit(written(train.withColumn("weight", share), "training").repartition(1)))
 
 
 def _words(text: str) -> list[str]:
