@@ -8,6 +8,7 @@ from dialoom.functions import text as tx
 from dialoom.functions import wordlists as wl
 from dialoom.operators import terms as tm
 from dialoom.params import KeyphraseParams
+from dialoom.session import cut_lineage
 
 DOCS = [("c", 1, "the old king of old stone went home, the old king", "season 1 episode 2 Old King"), ("c", 2, "king of old stone", "Stone"),
         ("d", 1, "a king's stone and 12 old kings", "x"), ("d", 1, "old king again", "x"), ("d", None, "old king", None), (None, 3, None, "y")]
@@ -72,3 +73,13 @@ def test_branches_without_titles_share_the_tokens(spark):
 
 def tm_labels(words):
     return {"_".join(words[i:i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
+
+
+def test_sizes_of_corpora_are_known_to_the_planner(spark):
+    """A row per corpus counts as small even where its documents come from a join of unknown size."""
+    docs = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "corpus string, doc_id long, text string")
+    unknown = cut_lineage(docs)
+    joined = cut_lineage(unknown.join(cut_lineage(unknown.select("corpus", "doc_id")), ["corpus", "doc_id"]))
+    sizes = tm.corpus_sizes(joined)
+    assert {tuple(r) for r in sizes.collect()} == {("a", 2), ("b", 1)}
+    assert int(str(sizes._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 10_000_000
