@@ -199,6 +199,29 @@ def test_documents_in_several_blocks(spark, monkeypatch):
     assert found[0] == found[1] and len(found[0]) == 5 * 64
 
 
+def test_blocks_hold_leads_only_and_pairs_of_blocks_meet_once(spark, monkeypatch):
+    made = np.random.default_rng(3)
+    texts = [" ".join(made.choice(["stone", "king", "crown", "river", "winter", "dragon"], 5)) for _ in range(9)]
+    docs = spark.createDataFrame([("c", i, texts[i % 9]) for i in range(36)], "corpus string, doc_id long, text string")
+    words = sm.content_words(docs).localCheckpoint()
+    leads = sm.copies(words).where("doc_id = lead").select("corpus", "doc_id").localCheckpoint()
+    monkeypatch.setattr(sm, "BLOCK_DOCS", 3)
+    packed = sm.packed_vectors(words, leads).localCheckpoint()
+    n = leads.count()
+    assert packed.count() == n
+    assert packed.agg(F.max("block")).first()[0] == (n - 1) // 3  # copies take no place in a block
+    weights = {(r.doc_id): sorted(round(w, 9) for w in r.weights) for r in packed.collect()}
+    assert weights == {r.doc_id: sorted(round(w, 9) for w in r.weights) for r in sm.packed_vectors(words).collect() if r.doc_id in weights}
+    plan = sm.nearest_leads(packed, 2)
+    pairs = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert pairs.count("explode(") == 1 and "CoGroup" not in pairs  # a document is copied on one side only
+    whole = {}
+    for size in (3, 100):
+        monkeypatch.setattr(sm, "BLOCK_DOCS", size)
+        whole[size] = sorted((r.x, r.y, round(r.sim, 9)) for r in sm.nearest_leads(sm.packed_vectors(words, leads).localCheckpoint(), 2).collect())
+    assert whole[3] == whole[100]
+
+
 @pytest.mark.parametrize("mode", ["exact", "contains"])
 def test_segments_count_as_whole_documents(spark, mode):
     made = np.random.default_rng(11)
