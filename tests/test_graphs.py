@@ -14,6 +14,7 @@ from dialoom.operators import terms as tm
 from dialoom.operators.centrality import centrality, pagerank_by_rounds
 from dialoom.params import KeyphraseParams, RankParams
 from dialoom.plans.keyphrases import keyphrases, segment_keyphrases
+from dialoom.session import bucketed, cut_lineage
 
 
 def arrays(edges):
@@ -222,6 +223,17 @@ def test_blocks_hold_leads_only_and_pairs_of_blocks_meet_once(spark, monkeypatch
     assert whole[3] == whole[100]
 
 
+def test_links_in_buckets_are_not_shuffled(spark):
+    links = spark.createDataFrame([("c", 1, 0, 1, 0.5), ("c", 1, 1, 0, 0.5)], "corpus string, doc_id long, node int, to int, w double")
+    table = bucketed(links, "links", "corpus", "doc_id", "node")
+    ranks = cut_lineage(links.select("corpus", "doc_id", "node", F.lit(0.5).alias("rank")))
+    met = spark.table(table).join(ranks.hint("shuffle_hash"), ["corpus", "doc_id", "node"])
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1, plan  # that of the ranks
+    assert met.count() == 2
+    spark.sql(f"DROP TABLE {table}")
+
+
 @pytest.mark.parametrize("mode", ["exact", "contains"])
 def test_segments_count_as_whole_documents(spark, mode):
     made = np.random.default_rng(11)
