@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from checks.queries import queries
 from dialoom.functions import text as tx
 from dialoom.functions import wordlists as wl
 from dialoom.operators import terms as tm
@@ -83,3 +84,26 @@ def test_sizes_of_corpora_are_known_to_the_planner(spark):
     sizes = tm.corpus_sizes(joined)
     assert {tuple(r) for r in sizes.collect()} == {("a", 2), ("b", 1)}
     assert int(str(sizes._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 10_000_000
+
+
+def test_distinct_terms_travel_in_lists(spark, tmp_path, monkeypatch):
+    """No row per term is shuffled, whatever a task holds at once; the parts that terms meet in follow the text."""
+    made = [*DOCS, ("c", 4, "old king of old stone", "x"), ("c", 5, "", "x"), (None, 6, "old king", "x")]
+    spark.createDataFrame(made, SCHEMA).select(F.col("corpus").alias("source"), "doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet")).withColumnRenamed("source", "corpus")
+    terms = tm.term_table(tm.occurrences(tm.tokenized(docs)))
+    want = sorted(map(str, terms.select("corpus", "term", "n").distinct().collect()))
+    assert "None" in want[-1] and "kings_stone" in str(want) and len(want) < terms.count()
+
+    def by_term(df):
+        return re.search(r"Exchange hashpartitioning\([^)]*term", df._jdf.queryExecution().executedPlan().toString())
+
+    queried = queries()["term_length"](spark, str(tmp_path))
+    assert by_term(terms.select("corpus", "term", "n").distinct()) and not by_term(queried)
+    assert sorted(map(str, queried.select("corpus", "term", F.col("n").cast("int")).collect())) == want
+    for held, text in ((tm.HELD, tm.MET_TEXT), (1, 5)):
+        monkeypatch.setattr(tm, "HELD", held)
+        monkeypatch.setattr(tm, "MET_TEXT", text)
+        got = tm.distinct_terms(terms, docs)
+        assert sorted(map(str, got.collect())) == want and not by_term(got)
+        assert (got.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))) == (text == 5)
