@@ -6,10 +6,12 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dialoom.functions import graphs
 from dialoom.operators import cooccurrence as co
+from dialoom.operators import terms as tm
 from dialoom.operators.centrality import rank_rows
 from dialoom.params import KeyphraseParams, RankParams
 
@@ -93,3 +95,43 @@ def test_graphs_followed_together(load, monkeypatch):
         monkeypatch.setattr(graphs, "TOGETHER", together)
         found = graphs.path_centralities(*[list(x) for x in zip(*graphs_of)], load)
         assert all(x.tolist() == graphs.path_centrality(*g, load).tolist() for x, g in zip(found, graphs_of))
+
+
+ODD = ["old", "king_s", "s", "kings", "king", "the", "sea_of", "of", "_", "x_", "_x", "sea", "ox", "fox", "a_s_b", "as_b", "b"]
+
+
+@pytest.mark.parametrize("stop_words", [True, False])
+def test_listed_phrases_are_found_where_they_occur(spark, stop_words):
+    made = np.random.default_rng(3)
+    params = KeyphraseParams(sizes=(1, 2, 3, 4), remove_stopwords=stop_words)
+    texts = [[str(w) for w in made.choice(ODD, 60)] for _ in range(6)] + [["fox"], []]
+    tokens = spark.createDataFrame([("c", i, t) for i, t in enumerate(texts)], "corpus string, doc_id long, tokens array<string>")
+    occ = tm.occurrences(tokens, params).selectExpr("*", "pos AS start", "CAST(pos + size - 1 AS int) AS end")
+    # of terms that several sizes give, one size is listed
+    top = occ.groupBy("corpus", "doc_id", "term").agg(F.max("size").alias("size")).withColumn(
+        "rank", F.row_number().over(Window.partitionBy("corpus", "doc_id").orderBy("term"))).checkpoint()
+    want = occ.join(top, ["corpus", "doc_id", "term", "size"]).select("doc_id", "rank", "term", "start", "end")
+    got = co.phrase_positions(tokens, top, params).select("doc_id", "rank", "term", "start", "end")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 600
+
+
+def test_tokens_that_hold_the_words(spark, capsys):
+    made = np.random.default_rng(4)
+    texts = [[str(w) for w in made.choice([*ODD, "foxes", "seas", "é"], 50)] for _ in range(5)] + [None, []]
+    terms = ["fox", "ing_s", "o", "s_f", "_", "ea_of_", "é", "nowhere", "fox_o"]
+    top = spark.createDataFrame([("c", i, t, t.count("_") + 1, r) for i in range(7) for r, t in enumerate(terms, 1)],
+                                "corpus string, doc_id long, term string, size int, rank int")
+
+    def found(rows):
+        tokens = spark.createDataFrame(rows, "corpus string, doc_id long, tokens array<string>")
+        made = co.phrase_positions(tokens, top, KeyphraseParams(position_mode="contains"))
+        made.explain()
+        return sorted((r.doc_id, r.term, r.start, r.end) for r in made.collect()), "Generate posexplode(tokens" in capsys.readouterr().out
+
+    want = sorted((i, t, at, at + t.count("_")) for i, of in enumerate(texts) for t in terms for at in range(len(of or []) - t.count("_"))
+                  if all(w in of[at + j] for j, w in enumerate(t.split("_"))))
+    rows = [("c", i, t) for i, t in enumerate(texts)]
+    assert found(rows) == (want, False) and len(want) > 100  # a token is not a row
+    # rows of one document are its parts, whose hits meet
+    assert found([*rows, rows[0]]) == (want, True)
+    assert (9, "fox", 0, 0) not in want and found([("c", 1, ["fox"]), ("c", 1, ["x", "ox"])])[0] == found([("c", 1, ["fox", "ox"])])[0]
