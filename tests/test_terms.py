@@ -2,6 +2,8 @@
 
 import re
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from checks.queries import queries
@@ -107,3 +109,35 @@ def test_distinct_terms_travel_in_lists(spark, tmp_path, monkeypatch):
         got = tm.distinct_terms(terms, docs)
         assert sorted(map(str, got.collect())) == want and not by_term(got)
         assert (got.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))) == (text == 5)
+
+
+@pytest.mark.parametrize("params", [dict(take_top=2), dict(take_top=50), dict(take_top=2, include_title=True), dict(sizes=(2, 5), take_top=3, drop_after_cutoff=True, position_cutoff=7),
+                                    dict(take_top=2, remove_stopwords=False, term_len_decay=False)], ids=str)
+def test_leading_terms_lack_only_what_cannot_be_listed(spark, params):
+    """Counted by a kernel, all terms but those no contender has; documents with folded, odd or repeated rows too."""
+    made, words = np.random.default_rng(8), ["old", "king", "kings", "s", "sea", "of", "the", "stone", "a_s_b", "x", "river", "é"]
+    texts = [" ".join(made.choice(words[:3] + words[4:8] + words[10:] if i % 2 else words, 40)) for i in range(6)]
+    rows = [*DOCS, *[("c", 10 + i, t, " ".join(t.split()[3:7])) for i, t in enumerate(texts)], ("c", 11, texts[2], "stone"), (None, 11, texts[1], "x")]
+    p = KeyphraseParams(**params)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    tokens, sizes = tm.tokenized(docs, p), tm.corpus_sizes(docs)
+    terms = tm.join_dimension(tm.document_terms(tokens, p), sizes, ["corpus"])
+    got = tm.leading_terms(tokens, sizes, p)
+
+    def rows_of(df):
+        return {tuple(map(str, r)) for r in df.select(*sorted(terms.columns)).collect()}
+
+    assert sorted(got.columns) == sorted(terms.columns)
+    assert rows_of(tm.contenders(terms, p)) <= rows_of(got) <= rows_of(terms) and got.count() == len(rows_of(got))
+    if p.take_top == 50:
+        assert rows_of(got) == rows_of(terms)
+    weighted = tm.with_tfidf(tm.join_dimension(tm.document_terms(tokens, p), sizes, ["corpus"]), tm.document_frequency(tokens, p), None, apart=False)
+    want = tm.top_terms(tm.with_score(weighted, p), p).select("corpus", "doc_id", "rank", "term", F.round("score", 9))
+    listed = tm.keyphrase_candidates(docs, p).select("corpus", "doc_id", "rank", "term", F.round("score", 9))
+    assert sorted(map(str, listed.collect())) == sorted(map(str, want.collect()))
+
+
+def test_terms_of_documents_are_not_sorted_for_their_bound(spark):
+    docs = spark.createDataFrame(DOCS, SCHEMA).drop("title")
+    made = tm.keyphrase_candidates(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert made.count("Window ") == 1  # the ranks
